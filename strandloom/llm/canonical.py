@@ -49,6 +49,10 @@ def _one_slip(a: str, b: str) -> bool:
     return a[i + 1:] == b[i + 1:] or a[i + 1:] == b[i:] or a[i:] == b[i + 1:] or (a[i: i + 2] == b[i: i + 2][::-1] and a[i + 2:] == b[i + 2:])
 
 
+def _exact(word: str) -> str | None:
+    return word if word in REMARKS else None
+
+
 @lru_cache(100_000)
 def remark(word: str) -> str | None:
     """The remark a word is, perhaps with one slip of the pen."""
@@ -72,7 +76,8 @@ def readings(value: str) -> list[tuple[str, int]]:
     head = words(re.sub(r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}|[;/#].*$|\s-\s.*$", " ", value)) or full
     add(head)
     for kept in ({"whole", "tissue"} | SIDES, {"tissue"} | SIDES, {"whole"} | SIDES, {"whole", "tissue"}, {"tissue"}, {"whole"}, SIDES, frozenset()):
-        add([w for w in head if (not (r := remark(w)) or r in kept) and not w.isdigit()])
+        for of in (_exact, remark):
+            add([w for w in head if (not (r := of(w)) or r in kept) and not w.isdigit()])
     if head and head[-1] == "tissue":
         add(head[:-1])
     return list(out.items())
