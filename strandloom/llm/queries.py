@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import canonical, topn
+from strandloom.llm import canonical, topn, vectors
 from strandloom.tables import col, is_missing, read
 
 # ---- p1 ---------------------------------------------------------------------
@@ -35,7 +35,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(rows, 5).select(F.col("kind").alias("group_kind"), F.col("key").alias("group_key"), F.col("id").alias("hit_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_found)}
+# ---- p5 ---------------------------------------------------------------------
+
+DIM = 512
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.similar(read(spark, d, "osdr_query_embeddings"), "sample_key", "embedding", read(spark, d, "sample_embeddings"), "global_index", "embedding", DIM)
+    return near.select(F.col("q").alias("sample_key"), F.col("i").alias("global_index")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p5_found, p6_found)}
 
 SQL = {
     "p6_found": """
