@@ -12,8 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key with more than this share of the references is split, so there are fewer than 1 / HOT_SHARE such keys.
-HOT_SHARE = 1 / 256
+from strandloom.operators.skew import hot_hashes
 
 
 def parent_marks(parents: DataFrame, key: list[Column], loaded: Column, deleted: Column) -> DataFrame:
@@ -41,10 +40,7 @@ def orphans(refs: DataFrame, ref_id: str, key: list[Column], at: Column, marks:
     """
     k = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(key)])
     r = refs.select(F.col(f"`{ref_id}`").alias("ref_id"), k.alias("k"), at.alias("at"))
-    counts = r.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    total = r.count()
-    # Fewer than 1 / HOT_SHARE keys can pass this filter, whatever the data.
-    hot = [x["h"] for x in counts.filter(F.col("n") > max(1000, total * HOT_SHARE)).select(F.xxhash64("k").alias("h")).collect()]
+    hot, total = hot_hashes(r, ["k"], least=1000)
     salts = max(1, min(1024, math.ceil(total / 500_000)))
     is_hot = F.xxhash64("k").isin(hot) if hot else F.lit(False)
     r = r.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("ref_id"), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
