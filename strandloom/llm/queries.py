@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import canonical, topn, vectors
+from strandloom.llm import canonical, clusters, leaks, packing, topn, vectors
 from strandloom.tables import col, is_missing, read
 
 # ---- p1 ---------------------------------------------------------------------
@@ -45,7 +45,42 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("q").alias("sample_key"), F.col("i").alias("global_index")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p5_found, p6_found)}
+# ---- p7 ---------------------------------------------------------------------
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    members, described = clusters.cluster(read(spark, d, "osdr_query_embeddings"), "sample_key", "embedding", DIM)
+    return members.join(described, "cluster_key").select(F.col("key").alias("sample_key"), "cluster_key", "typical_key").distinct()
+
+
+def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """cluster_key, size, typical_key, tissues: the distinct tissues of the members, as many as the metadata names."""
+    members, described = clusters.cluster(read(spark, d, "osdr_query_embeddings"), "sample_key", "embedding", DIM)
+    meta = read(spark, d, "osdr_metadata").filter(~is_missing(F.col("tissue"))).select(F.col("sample_key").alias("key"), "tissue").distinct()
+    tissues = members.join(meta, "key").groupBy("cluster_key").agg(F.sort_array(F.collect_set(F.initcap(F.trim("tissue")))).alias("t"))
+    return described.join(tissues, "cluster_key", "left").select("cluster_key", "size", "typical_key", F.coalesce(F.array_join("t", "; "), F.lit("")).alias("tissues"))
+
+
+# ---- p8 ---------------------------------------------------------------------
+
+
+def p8_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "piece", "tokens", "container")
+
+
+# ---- p9 ---------------------------------------------------------------------
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, n_docs of the items that leaked."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p5_found, p6_found, p7_found, p7_clusters, p8_assignment, p9_found, p9_items)}
 
 SQL = {
     "p6_found": """
