@@ -65,7 +65,7 @@ def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+def spread(df: DataFrame, factor: int = 1) -> DataFrame:
     """Round-robin rows over the cluster where a scan has too few splits for the CPU work that follows.
 
     A table of one row group is one task whatever its size, so work of
