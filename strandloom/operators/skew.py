@@ -15,7 +15,9 @@ def hot_hashes(df: DataFrame, key: list[str], least: int = 100_000, share: float
     Counted over all rows with partial sums; fewer than 1 / share hashes come back, whatever the data.
     """
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    if (most or 0) <= max(least, (total or 0) * share):
+        return [], total or 0
     hot = counts.filter(F.col("n") > max(least, total * share)).select(F.xxhash64(*key).alias("h")).collect()
     return [r["h"] for r in hot], total
 
