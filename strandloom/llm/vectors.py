@@ -178,18 +178,20 @@ def similar(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str,
             return empty
         qt, it = t.filter(pa.array(is_q)), t.filter(pa.array(~is_q))
         orders = [np.frombuffer(b"".join(x.column("ord").to_pylist()), np.int16).reshape(-1, m) for x in (qt, it)]
-        qv, iv = (unit(unpack(x.column("vec").to_pylist(), dim).astype(np.float64)) for x in (qt, it))
+        qv, iv = (unit(unpack(x.column("vec").to_pylist(), dim)) for x in (qt, it))
         ids = it.column("i").to_numpy()
         keys, out = qt.column("q").to_pylist(), []
-        step = max(1, 4_000_000 // len(it))
+        step = max(1, min(512, 4_000_000 // len(it)))
         for a in range(0, len(qt), step):
             near = footrule(orders[0][a: a + step], orders[1], count) <= bound
-            qi, xi = np.nonzero(near)
-            for s in range(0, len(qi), 20_000):
-                q, x = qi[s: s + 20_000] + a, xi[s: s + 20_000]
-                cos = np.einsum("ij,ij->i", qv[q], iv[x])
-                hit = np.flatnonzero(cos >= least - 1e-9)
-                out.append((q[hit], ids[x[hit]], cos[hit]))
+            # One product for the postings near any query of the block costs far less than fetching vectors pair by pair.
+            cols = np.flatnonzero(near.any(0))
+            rough = qv[a: a + step] @ iv[cols].T
+            q, x = np.nonzero(near[:, cols] & (rough >= least - 1e-4))
+            q, x = q + a, cols[x]
+            cos = np.einsum("ij,ij->i", unit(qv[q].astype(np.float64)), unit(iv[x].astype(np.float64))) if len(q) else np.empty(0)
+            hit = np.flatnonzero(cos >= least - 1e-9)
+            out.append((q[hit], ids[x[hit]], cos[hit]))
         if not out:
             return empty
         q, i, cos = (np.concatenate(c) for c in zip(*out))
