@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import canonical, clusters, leaks, packing, topn, vectors
+from strandloom.llm import canonical, clusters, leaks, packing, pii, pii_training, topn, vectors
 from strandloom.tables import col, is_missing, read
 
 # ---- p1 ---------------------------------------------------------------------
@@ -80,7 +80,18 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p5_found, p6_found, p7_found, p7_clusters, p8_assignment, p9_found, p9_items)}
+# ---- p10 --------------------------------------------------------------------
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(read(spark, d, "documents"), "doc_id", "text", pii_training.weights()).distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(read(spark, d, "documents"), "doc_id", "text", pii_training.weights())
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p5_found, p6_found, p7_found, p7_clusters, p8_assignment, p9_found, p9_items, p10_found, p10_redacted)}
 
 SQL = {
     "p6_found": """
