@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import core_problems
+from strandloom.plans import core_problems, relational
 
-PARTS = [core_problems]
+PARTS = [core_problems, relational]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
