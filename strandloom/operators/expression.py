@@ -29,8 +29,8 @@ def align(collapsed: DataFrame, genes: DataFrame) -> DataFrame:
     The list repeats inside each sample by ``explode`` of one array (its length
     is the length of the list, whatever the number of samples).
     """
-    listed = genes.select("symbol").distinct().agg(F.sort_array(F.collect_list("symbol")).alias("symbols"))
-    grid = collapsed.select("sample").distinct().join(F.broadcast(listed)).select("sample", F.explode("symbols").alias("symbol"))  # one row
+    listed = genes.select("symbol").distinct().agg(F.sort_array(F.collect_list("symbol"))).scalar()
+    grid = collapsed.select("sample").distinct().select("sample", F.explode(listed).alias("symbol"))
     return grid.join(collapsed, ["sample", "symbol"], "left").select("sample", "symbol", F.coalesce("count", F.lit(0.0)).alias("count"))
 
 

@@ -51,8 +51,8 @@ def affinities(edges: DataFrame, perplexity: float) -> DataFrame:
 
     one = edges.select("qid", "id", "score").groupBy("qid").applyInPandas(calibrate, "qid long, id long, p double")
     both = one.unionByName(one.select(F.col("id").alias("qid"), F.col("qid").alias("id"), "p"))
-    n = one.agg(F.countDistinct("qid").alias("n"))
-    return both.groupBy("qid", "id").agg(F.sum("p").alias("p")).join(F.broadcast(n)).select("qid", "id", (F.col("p") / (2 * F.col("n"))).alias("p"))  # n is one row
+    n = edges.agg(F.countDistinct("qid")).scalar()
+    return both.groupBy("qid", "id").agg(F.sum("p").alias("p")).select("qid", "id", (F.col("p") / (2 * n)).alias("p"))
 
 
 def edge_arrays(edges: DataFrame, weight: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -20,9 +20,9 @@ def stratified(df: DataFrame, ident: str, label: str, n: int, seed: int) -> Data
     The result may be slightly above or below ``n``, by the rounding.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    pool = sizes.agg(F.sum("_size").alias("_pool"))
-    take = F.when(F.col("_pool") <= n, F.col("_size")).otherwise(F.least(F.greatest(F.lit(1), F.bround(F.col("_size") * n / F.col("_pool")).cast("long")), F.col("_size")))
-    quota = sizes.join(F.broadcast(pool)).select(F.col(label).alias("_label"), take.alias("_take"))  # pool is one row
+    pool = df.agg(F.count(F.lit(1))).scalar()
+    take = F.when(pool <= n, F.col("_size")).otherwise(F.least(F.greatest(F.lit(1), F.bround(F.col("_size") * n / pool).cast("long")), F.col("_size")))
+    quota = sizes.select(F.col(label).alias("_label"), take.alias("_take"))
     w = Window.partitionBy(label).orderBy("_t", ident)
     # Positions within the class by ticket, then the class's own quota (a small pool keeps all of its rows).
     ranked = df.withColumn("_t", ticket(seed, ident)).withColumn("_r", F.row_number().over(w))

@@ -5,13 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import core_problems, relational
+from strandloom.plans import analytic, core_problems, embedding, relational
 
-PARTS = [core_problems, relational]
+PARTS = [core_problems, relational, analytic, embedding]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return core_problems.p3_found(spark, d)
+    return embedding.topk_annotated(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -27,11 +27,11 @@ def p2_unit_changes(spark: SparkSession, d: str) -> DataFrame:
     q = _quantities(spark, d).withColumn("hours", F.col("q_seconds_num") / F.col("q_seconds_den") / 3600)
     told = q.filter(F.col("q_unit_from") == "text")
     levels = units.source_levels(told, "accession", "hours")
-    overall = told.filter("hours > 0").agg(F.avg(F.log("hours")).alias("lv_all"))
+    overall = told.filter("hours > 0").agg(F.avg(F.log("hours"))).scalar()
     bare = (
         q.filter("q_number > 0 and accession is not null").select("row_id", "accession", "ingested_at", F.col("q_number").alias("number"))
-        .join(levels, F.col("accession") == F.col("lv_source"), "left").join(F.broadcast(overall))  # one row
-        .select("row_id", "accession", "ingested_at", "number", F.coalesce("lv", "lv_all", F.lit(6.0)).alias("level"))
+        .join(levels, F.col("accession") == F.col("lv_source"), "left")
+        .select("row_id", "accession", "ingested_at", "number", F.coalesce("lv", overall, F.lit(6.0)).alias("level"))
     )
     return units.unit_changes(units.unit_history(bare, "accession", ["ingested_at", "row_id"], "number", "level"), "accession", ["ingested_at", "row_id"])
 

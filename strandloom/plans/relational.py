@@ -224,12 +224,12 @@ def union_corpora(spark, d):
 
     a = read(spark, d, "sample_embeddings").filter("embedding is not null").select(F.lit(0).cast("long").alias("dataset"), F.col("global_index").alias("point"))
     keys = read(spark, d, "osdr_query_embeddings").filter("embedding is not null").select("sample_key").distinct()
-    last = read(spark, d, "sample_embeddings").agg(F.max("global_index").alias("last"))
+    last = read(spark, d, "sample_embeddings").agg(F.max("global_index")).scalar()
     # Global numbering by prefix sums: ranges sorted by key, each range's count added up over at most as many rows as there are ranges.
     ranged = keys.repartitionByRange("sample_key").sortWithinPartitions("sample_key").withColumn("p", F.spark_partition_id())
     local = ranged.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("sample_key")))
     before = ranged.groupBy("p").count().withColumn("b", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "b")
-    b = local.join(F.broadcast(before), "p").join(F.broadcast(last)).select(F.lit(1).cast("long").alias("dataset"), (F.col("last") + F.col("b") + F.col("r")).alias("point"))
+    b = local.join(F.broadcast(before), "p").select(F.lit(1).cast("long").alias("dataset"), (last + F.col("b") + F.col("r")).alias("point"))  # a row a range
     return a.unionByName(b)
 
 
