@@ -75,20 +75,24 @@ def normalised(c: Column) -> Column:
 
 def canonical(c: Column, rules: Sequence[tuple[str, str]] = TISSUE_RULES) -> Column:
     """Bucket of a text: Unknown for null, blank and placeholders, Other where no rule matches."""
-    s = normalised(c)
-    out = F.when(s == "", UNKNOWN)
-    for bucket, rule in rules:
-        out = out.when(s.rlike(expression(rule)), bucket)
-    return out.otherwise(OTHER)
+
+    def chain(s: Column) -> Column:
+        out = F.when(s == "", UNKNOWN)
+        for bucket, rule in rules:
+            out = out.when(s.rlike(expression(rule)), bucket)
+        return out.otherwise(OTHER)
+
+    # As the variable of a one-element transform the normalised text is made once, not once a rule.
+    return F.transform(F.array(normalised(c)), chain)[0]
 
 
 def coalesced(*cs: Column) -> Column:
     """The first telling bucket of several texts; of none, the least weak, the earlier on ties."""
     buckets = F.array(*[canonical(c) for c in cs])
     weak = F.create_map(*[F.lit(x) for kv in WEAK.items() for x in kv])
-    strong = F.filter(buckets, lambda b: ~b.isin(*WEAK))
-    ranked = F.transform(buckets, lambda b, i: F.struct(F.try_element_at(weak, b).alias("r"), (-i).alias("i"), b.alias("b")))
-    return F.when(F.size(strong) > 0, F.try_element_at(strong, F.lit(1))).otherwise(F.array_max(ranked)["b"])
+    # One rank orders them all: telling buckets above weak ones, then the earlier field.
+    ranked = F.transform(buckets, lambda b, i: F.struct(F.coalesce(F.try_element_at(weak, b), F.lit(9)).alias("r"), (-i).alias("i"), b.alias("b")))
+    return F.array_max(ranked)["b"]
 
 
 def sql_normalised(c: str) -> str:
