@@ -25,7 +25,7 @@ LABELS = ("O", "name", "email", "phone", "idnum", "address")
 KIND = {k: i for i, k in enumerate(LABELS)}
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in LABELS[1:]}
 BITS = 17
-SKIP = 0.6  # share of the other mentions' mean log-odds that reaches a mention
+SKIP = 1.3  # share of the surest other mention's log-odds that reaches a mention
 ROUNDS = 2
 WIDE = 60  # and as many more on both sides of the sign of an e-mail address
 REACH = 40  # characters of a window on both sides of a trigger
@@ -247,8 +247,11 @@ def decide(field: Field, docs: list[int], keys: list[list[str]], feats: list[lis
             # what a mention believes by itself: its log-odds without what it was told
             told = [packs[p][4][r, j, 1] - packs[p][1][r, j, 1] for p, r, j in group]
             odds = np.clip([packs[p][3][r, j, 1] - packs[p][3][r, j, 0] for p, r, j in group], -8, 8) - told
-            rest = (odds.sum() - odds) / (len(group) - 1)
-            for (p, r, j), m in zip(group, SKIP * np.clip(rest, -4, 8)):
+            # The surest other mention counts: a mention without context says little against it.
+            top = np.argsort(odds)[::-1][:2]
+            rest = np.full(len(group), odds[top[0]])
+            rest[top[0]] = odds[top[1]]
+            for (p, r, j), m in zip(group, SKIP * np.clip(rest, 0, 8)):
                 packs[p][4][r, j, 1] += m
     for rows, _, _, node, *_ in packs:
         best = node.argmax(2)
@@ -258,7 +261,7 @@ def decide(field: Field, docs: list[int], keys: list[list[str]], feats: list[lis
 
 
 def _share(w: str, kind: str) -> str:
-    return w.lower() if kind == "word" and len(w) > 3 and not w.islower() else ""
+    return w.lower() if kind == "word" and len(w) > 3 and not w.islower() and w.lower() not in known_words() else ""
 
 
 def _labelled(field: Field, texts: dict[int, str], more: dict[int, list[int]]) -> dict[int, list[tuple[int, int, str]]]:

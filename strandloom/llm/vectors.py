@@ -69,17 +69,22 @@ def sample_matrix(df: DataFrame, ident: str, vec: str, dim: int, size: int = SAM
 
 
 def fit_pivots(sample: np.ndarray, count: int, rounds: int = 4) -> np.ndarray:
-    """Spherical means of the sample; starts are drawn with a fixed seed."""
+    """Spherical means of the sample's different vectors; starts are drawn with a fixed seed.
+
+    No two pivots nearly agree: copies of one vector would else be posted now
+    under one and now under the other.
+    """
     rng = np.random.default_rng(7)
+    sample = sample[np.sort(np.unique(np.round(sample, 4), axis=0, return_index=True)[1])]
     piv = sample[rng.choice(len(sample), min(count, len(sample)), replace=False)].copy()
     for _ in range(rounds):
         near = (sample @ piv.T).argmax(1)
         total = np.zeros_like(piv)
         np.add.at(total, near, sample)
         norm = np.linalg.norm(total, axis=1)
-        some = norm > 0
-        piv[some] = total[some] / norm[some, None]
-    return piv
+        piv = total[norm > 0] / norm[norm > 0, None]
+    close = np.triu(piv @ piv.T > 0.999, 1).any(0)
+    return piv[~close]
 
 
 def pivot_count(n: int) -> int:
