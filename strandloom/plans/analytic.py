@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import cases, rules, vec
 from strandloom.operators import expression, sampling
+from strandloom.operators.positions import positions
 from strandloom.plans.registry import Registry
 from strandloom.plans.relational import samples
 from strandloom.tables import read
@@ -366,7 +367,7 @@ def map_view(spark, d):
 def permuted_labels(spark, d):
     """Labels of the queries in shuffled order, by rank of a digest."""
     q = read(spark, d, "embeddings").filter("vec_id % 100 = 0").select("vec_id", F.col("label").cast("long").alias("label"))
-    return q.withColumn("place", F.row_number().over(Window.orderBy(sampling.ticket(SEED, "vec_id"), "vec_id")).cast("long")).select("place", "label")
+    return positions(q, [sampling.ticket(SEED, "vec_id"), F.col("vec_id")], "place").select("place", "label")
 
 
 @query("select shard_idx::bigint as shard, row_in_shard::bigint as line, coalesce((select count(*) from sample_locations b where b.shard_idx < a.shard_idx), 0) + row_number() over (partition by shard_idx order by row_in_shard) - 1 as position from sample_locations a")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import cases, text
 from strandloom.operators import dedupe
+from strandloom.operators.positions import positions
 from strandloom.plans.registry import Registry
 from strandloom.tables import col, read
 
@@ -220,16 +221,10 @@ def upsert_last(spark, d):
 @query("""select 0::bigint as dataset, global_index::bigint as point from sample_embeddings where embedding is not null
 union all select 1, (select max(global_index) from sample_embeddings) + row_number() over (order by sample_key) from (select distinct sample_key from osdr_query_embeddings where embedding is not null)""")
 def union_corpora(spark, d):
-    from pyspark.sql import Window
-
     a = read(spark, d, "sample_embeddings").filter("embedding is not null").select(F.lit(0).cast("long").alias("dataset"), F.col("global_index").alias("point"))
     keys = read(spark, d, "osdr_query_embeddings").filter("embedding is not null").select("sample_key").distinct()
     last = read(spark, d, "sample_embeddings").agg(F.max("global_index")).scalar()
-    # Global numbering by prefix sums: ranges sorted by key, each range's count added up over at most as many rows as there are ranges.
-    ranged = keys.repartitionByRange("sample_key").sortWithinPartitions("sample_key").withColumn("p", F.spark_partition_id())
-    local = ranged.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("sample_key")))
-    before = ranged.groupBy("p").count().withColumn("b", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "b")
-    b = local.join(F.broadcast(before), "p").select(F.lit(1).cast("long").alias("dataset"), (last + F.col("b") + F.col("r")).alias("point"))  # a row a range
+    b = positions(keys, [F.col("sample_key")]).select(F.lit(1).cast("long").alias("dataset"), (last + F.col("position")).alias("point"))
     return a.unionByName(b)
 
 
@@ -279,7 +274,7 @@ def _keyed(key: str) -> str:
 
 
 @query(f"with m as (select distinct global_index, characteristics from archs4_metadata) select global_index, {_keyed('tissue')} as tissue, {_keyed('strain')} as strain, {_keyed('age')} as age from m")
-def char_value(spark, d):
+def characteristics_value(spark, d):
     m = read(spark, d, "archs4_metadata").select("global_index", "characteristics").distinct()
     return m.select("global_index", *[text.keyed_value(F.col("characteristics"), k).alias(k) for k in ("tissue", "strain", "age")])
 
