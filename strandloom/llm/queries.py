@@ -54,11 +54,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """cluster_key, size, typical_key, tissues: the distinct tissues of the members, as many as the metadata names."""
+    """cluster_key, size, typical_key, tissue, n_samples: a row for each reference tissue of a cluster's samples ('' where none is known)."""
     members, described = clusters.cluster(read(spark, d, "osdr_query_embeddings"), "sample_key", "embedding", DIM)
-    meta = read(spark, d, "osdr_metadata").filter(~is_missing(F.col("tissue"))).select(F.col("sample_key").alias("key"), "tissue").distinct()
-    tissues = members.join(meta, "key").groupBy("cluster_key").agg(F.sort_array(F.collect_set(F.initcap(F.trim("tissue")))).alias("t"))
-    return described.join(tissues, "cluster_key", "left").select("cluster_key", "size", "typical_key", F.coalesce(F.array_join("t", "; "), F.lit("")).alias("tissues"))
+    terms = read(spark, d, "tissue_terms")
+    meta = read(spark, d, "osdr_metadata").select(F.col("sample_key").alias("key"), "tissue").distinct()
+    meant = canonical.match_values(meta, "tissue", canonical.reference_entries(terms, "term_id", "term", "synonyms"))
+    named = meant.join(terms.select("term_id", "term"), "term_id").select("key", "term").distinct()
+    per = members.join(named, "key", "left").groupBy("cluster_key", F.coalesce("term", F.lit("")).alias("tissue")).agg(F.count(F.lit(1)).alias("n_samples"))
+    return described.join(per, "cluster_key").select("cluster_key", "size", "typical_key", "tissue", "n_samples")
 
 
 # ---- p8 ---------------------------------------------------------------------
