@@ -104,4 +104,12 @@ SQL = {
     when exists (select 1 from counts_columns c where c.file_name = o.file and (o.ref_field = 'counts_path' or c.sample_name = o.sample)
       and c.loaded_at > o.ingested_at and (c.deleted_at is null or c.deleted_at > c.loaded_at)) then 'late'
     else 'missing' end as status from o) group by all""",
+    # Items are runs of quoted stretches and of characters that do not separate; quotes go, doubled ones become one.
+    "p4_found": r"""
+with c as (select distinct 'characteristics' as field, global_index::varchar as rec_key, characteristics as t, '(?:"(?:[^"]|"")*"|[^;,|\t\n\r"])+' as how from archs4_metadata
+  union all select distinct 'pubmed_ids_ncbi', gse, regexp_replace(trim(pubmed_ids_ncbi, e' \t\n\r'), '^\[(.*)\]$', '\1', 's'), '(?:"(?:[^"]|"")*"|[^;,|/\s"])+' from geo_records),
+p as (select field, rec_key, list_filter(list_transform(regexp_extract_all(t, how), lambda x: trim(x, e' \t\n\r')), lambda x: x <> '') as items from c
+  where t is not null and lower(trim(t, e' \t\n\r')) not in ('', 'na', 'n/a', 'nan', 'none'))
+select distinct field, rec_key, pos::int as pos, replace(regexp_replace(items[pos], '"((?:[^"]|"")*)"', '\1', 'g'), '""', '"') as item from (select field, rec_key, items, unnest(range(1, len(items) + 1)) as pos from p)
+""",
 }
