@@ -96,7 +96,21 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p5_found, p6_found, p7_found, p7_clusters, p8_assignment, p9_found, p9_items, p10_found, p10_redacted)}
 
+_VALID = "embedding is not null and len(embedding) = 512 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_UNIT = "list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[])))"
 SQL = {
+    "p5_found": f"""
+with q as (select distinct sample_key, embedding from osdr_query_embeddings where {_VALID}), qu as (select sample_key, row_number() over () as n, {_UNIT} as v from q),
+i as (select global_index, {_UNIT} as v from sample_embeddings where {_VALID}),
+p as (select sample_key, n, global_index, list_dot_product(qu.v, i.v) as c from qu join i on true)
+select distinct sample_key, global_index from (select * from p where c >= 0.9 - 1e-9 qualify row_number() over (partition by n order by round(c, 9) desc, global_index) <= 10)""",
+    "p7_found": f"""
+with recursive q as (select sample_key, {_UNIT} as v from (select sample_key, min(embedding) as embedding from osdr_query_embeddings where {_VALID} group by 1)),
+e as (select a.sample_key as a, b.sample_key as b, list_dot_product(a.v, b.v) as c from q a join q b on a.sample_key <> b.sample_key),
+r as (select sample_key as a, sample_key as b from q union select r.a, e.b from r join e on r.b = e.a and e.c >= 0.9 - 1e-9),
+m as (select a as sample_key, min(b) as cluster_key, count(*) as n from r group by 1),
+s as (select m.sample_key, m.cluster_key, round(avg(e.c), 9) as mean from m join m o on o.cluster_key = m.cluster_key and o.sample_key <> m.sample_key join e on e.a = m.sample_key and e.b = o.sample_key where m.n >= 3 group by 1, 2)
+select sample_key, cluster_key, first_value(sample_key) over (partition by cluster_key order by mean desc, sample_key) as typical_key from s""",
     "p6_found": """
 with h as (select distinct hit_id, sample_key, score, gse from hits_df where score is not null and not isnan(score)),
 g as (select 'sample_key' as group_kind, sample_key as group_key, score, hit_id from h where sample_key is not null

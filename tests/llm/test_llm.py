@@ -345,7 +345,8 @@ def test_query(spark, data, name):
     assert rows and len(df.columns) == len(set(df.columns))
     if name in queries.SQL:
         c = duckdb.connect()
-        c.execute(f"create view hits_df as select * from '{data}/hits_df.parquet'")
+        for t in ("hits_df", "osdr_query_embeddings", "sample_embeddings"):
+            c.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
         q = c.execute(queries.SQL[name])
         cols = [x[0] for x in q.description]
         assert sorted(tuple(map(str, r)) for r in q.fetchall()) == sorted(tuple(str(r[c]) for c in cols) for r in rows)
