@@ -34,7 +34,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.where(n > 0, m / np.where(n > 0, n, 1), m)
 
 
-def _searcher(qids: np.ndarray, q: np.ndarray, dim: int, k: int, metric: str, exclude_self: bool):
+def _searcher(qids: np.ndarray, q: np.ndarray, dim: int, k: int | None, metric: str, exclude_self: bool):
     qq = _unit(q) if metric == "cosine" else q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +51,10 @@ def _searcher(qids: np.ndarray, q: np.ndarray, dim: int, k: int, metric: str, ex
                 s = qq @ x.T
             if exclude_self:
                 s = np.where(qids[:, None] == ids[None, :], -np.inf, s)
+            if k is None:
+                real = np.isfinite(s).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, len(ids))[real]), pa.array(np.tile(ids, len(qids))[real]), pa.array(s.ravel()[real])], names=["qid", "id", "score"])
+                continue
             best_s = np.concatenate([best_s, s], 1)
             best_i = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], 1)
             if best_s.shape[1] > k:
@@ -66,13 +70,8 @@ def _searcher(qids: np.ndarray, q: np.ndarray, dim: int, k: int, metric: str, ex
     return run
 
 
-def knn(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str, ivec: str, dim: int, k: int, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
-    """qid, id, score, rank: exact ``k`` nearest by cosine, dot or euclidean (score = -distance squared).
-
-    Ties go to the smaller id.  Vectors that are null, of another length or not
-    finite take no part.  ``k`` beyond the index gives all of it; empty tables
-    give no rows.
-    """
+def scores(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str, ivec: str, dim: int, k: int | None, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
+    """qid, id, score: of every task its best ``k`` of each query, or with None the scores of all rows, which pass through batch by batch."""
     if metric not in ("cosine", "dot", "euclidean"):
         raise ValueError(f"unknown metric {metric}")
     spark = index.sparkSession
@@ -88,7 +87,16 @@ def knn(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str, ive
         ids = part.column("qid").take(pa.array(keep)).to_numpy()
         found = rows.mapInArrow(_searcher(ids, q, dim, k, metric, exclude_self), "qid long, id long, score double")
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "qid long, id long, score double, rank int")
+    return spark.createDataFrame([], "qid long, id long, score double") if out is None else out
+
+
+def knn(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str, ivec: str, dim: int, k: int, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
+    """qid, id, score, rank: exact ``k`` nearest by cosine, dot or euclidean (score = -distance squared).
+
+    Ties go to the smaller id.  Vectors that are null, of another length or not
+    finite take no part.  ``k`` beyond the index gives all of it; empty tables
+    give no rows.
+    """
+    out = scores(queries, qid, qvec, index, iid, ivec, dim, k, metric, exclude_self)
     w = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import vec
 from strandloom.operators import encoder, layout, pca
-from strandloom.operators.knn import knn
+from strandloom.operators.knn import knn, scores
 from strandloom.plans.registry import Registry
 from strandloom.tables import read
 
@@ -88,8 +88,7 @@ def l2_normalize(spark, d):
 
 @query(f"with {PAIRS} select qid, id, round(score, 6) as cosine, round(1 - score, 6) as distance from p")
 def cosine_pairs(spark, d):
-    n = embeddings(spark, d).count()
-    p = neighbours(spark, d, k=max(1, n))
+    p = scores(asked(spark, d), "vec_id", "embedding", embeddings(spark, d), "vec_id", "embedding", DIM, None)
     return p.select("qid", "id", F.round("score", 6).alias("cosine"), F.round(1 - F.col("score"), 6).alias("distance"))
 
 
@@ -148,9 +147,8 @@ def mixing_enrichment(spark, d):
 @query(f"with {PAIRS} select p.qid, p.id, (select count(*) from p p2 where p2.qid = p.qid and round(p2.score, 9) > round(p.score, 9)) as rank_all from p where p.qid = 0 and p.id <= 20")
 def map_rank(spark, d):
     """How many vectors are strictly nearer to the query than each of some points."""
-    n = embeddings(spark, d).count()
     q = embeddings(spark, d).filter("vec_id = 0")
-    near = knn(q, "vec_id", "embedding", embeddings(spark, d), "vec_id", "embedding", DIM, max(1, n)).withColumn("s", F.round("score", 9))
+    near = scores(q, "vec_id", "embedding", embeddings(spark, d), "vec_id", "embedding", DIM, None).withColumn("s", F.round("score", 9))
     # The points are few; each row is compared with all of them where it stands, and the counts are summed.
     points = near.filter("id <= 20").agg(F.collect_list(F.struct("id", "s"))).scalar()
     e = near.select("qid", "s", F.explode(points).alias("p"))
