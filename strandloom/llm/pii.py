@@ -293,7 +293,8 @@ def _labelled(field: Field, texts: dict[int, str], more: dict[int, list[int]]) -
                 a, b = i, j
                 while a < b and part[a][2] != "word":
                     a += 1
-                while b > a and part[b - 1][2] != "word":
+                # a known word at its end begins the next sentence
+                while b > a and (part[b - 1][2] != "word" or b - a > 1 and text[part[b - 1][0]: part[b - 1][1]].lower() in known_words()):
                     b -= 1
                 if a < b and any(part[x][1] - part[x][0] > 1 for x in range(a, b)):
                     found[d].append((part[a][0], part[b - 1][1], "name"))

@@ -9,7 +9,7 @@ import numpy as np
 from strandloom.llm.pii import ALLOWED, BITS, FEATURES, KIND, LABELS, REACH, RUE, STRASSE, STREET, Field, features, tokens
 
 #: labelled windows that are made, and passes over them
-WINDOWS = 8000
+WINDOWS = 9000
 PASSES = 4
 
 # Parts of made-up names, places and words.
@@ -186,7 +186,19 @@ given that {x} was excluded by long reads: {x}; {x}; {x}?
 ... below detection in long reads before {g} does, so that animals on the {H} deck and those with {x} separate at hour {d}.
 Assuming that {d} of the {d} {t} libraries were swapped, which reading remains sound?
 Given {d} {t} samples, {g} peaked early but {g} recovered only partly.
-Which sample should be drawn next to tell {x} from {x}?""".split("\n")
+Which sample should be drawn next to tell {x} from {x}?
+Übung: Rank {g}, {g} and {g} by fold change if the {t} on a tilted treadmill lost {d} percent.
+Übung: Given {d} {t} samples kept on the {H} capsule and {d} kept beside it, {g} lagged the controls.
+Q. Given {d} {t} samples kept on the {H} capsule, {g} peaked early in pooled barcodes.
+Q. It, {g} peaked early in long reads but {g} recovered only partly.
+{x} was excluded by, intronic signal; lower food / intake, cage; density and, reduced clearance
+Units, and; a change / in cell mix; is present, in {d} percent
+Missing ages were filled from the cage cards where these could be read.
+Ribosomal reads made up {d} percent in the {u} that had waited longest.
+Library size varied {d}-fold, mostly because the {u}s from {t} were small.
+The design is a full cross of {x} and {x} with {d} replicates per cell.
+Assuming that {x} holds, which of {d} days, given that poly-A counts fell, comes first: {x}; {x}; {x}?
+Word list: nascent in of density and kept beside or Given would chamber loading State on controls it.""".split("\n")
 TISSUES = "liver|kidney cortex|left ventricle|lung|spleen|bone marrow|soleus muscle|dorsal skin|retina|optic nerve|hippocampus|olfactory bulb|spinal cord|adrenal gland|brown adipose tissue|aorta".split("|")
 EXPOSURES = "noise exposure|skeletal unloading|low dose rays|a short fast|light at night|cold|whole-body rotation|the circadian phase|isoflurane|diet shift|loss of loading|mild hypothermia|stress from handling".split("|")
 UNITS = "batch|pellet|section|aliquot|cohort|library|barcode|arm|sample|carcass".split("|")
@@ -282,7 +294,7 @@ def sentence(r: random.Random) -> list[tuple[str, str]]:
         else:
             pieces.append((part, "O"))
     case = r.random()
-    turn = str.upper if case < 0.06 else str.lower if case < 0.12 else None
+    turn = str.upper if case < 0.08 else str.lower if case < 0.17 else None
     only = r.random() < 0.6 and any(label != "O" for _, label in pieces)  # else the whole sentence is turned
     return [(turn(t) if turn and (label != "O" or not only) else t, label) for t, label in pieces]
 
