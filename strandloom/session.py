@@ -1,10 +1,11 @@
 """Session factory and the durable work area used to cut lineage."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers)
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,7 +35,9 @@ def work_dir(spark: SparkSession) -> str:
     if not folder:
         folder = getattr(work_dir, "_local", None)
         if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="strandloom-")
+            made = tempfile.mkdtemp(prefix="strandloom-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            folder = "file://" + made
             work_dir._local = folder  # type: ignore[attr-defined]
     return folder.rstrip("/")
 
