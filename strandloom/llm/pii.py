@@ -76,7 +76,7 @@ _known: set[str] = set()
 
 
 def known_words() -> set[str]:
-    """Words of the training sentences' fixed parts: after a cue none of them is a person's."""
+    """Words of the training sentences' fixed parts.  Some are surnames too, so membership is only a feature."""
     if not _known:
         from strandloom.llm import pii_training as made
 
@@ -87,14 +87,14 @@ def known_words() -> set[str]:
 
 def windows(text: str, more: list[int] | None = None) -> list[tuple[int, int]]:
     """Stretches around all that may be a candidate or stand before one, and around the places ``more``, cut at blanks."""
-    n, known, low = len(text), known_words(), text.lower()
+    n, low = len(text), text.lower()
     if len(low) != n:
         low = text
     at = [(m.start() - WIDE, m.end() + WIDE) if not text[m.start()].isdigit() else (m.start(), m.end()) for m in _ANCHOR.finditer(text)]
     at += [(m.start(), m.end()) for m in _STREET.finditer(text) if _DIGIT.search(text, max(0, m.start() - 36), m.start())]
     at += [(m.start(), m.end()) for m in _NUMBERED.finditer(text) if low[max(0, m.start() - 8): m.start()].rstrip(".").endswith(_ENDS)]
-    at += [(m.start(), m.end()) for m in _PAIR.finditer(text) if not (m["a"] and m["a"].lower() in known and m["b"].lower() in known)]
-    at += [(m.start(), m.end()) for m in _CUE.finditer(text) if m["next"].lower() not in known]
+    at += [(m.start(), m.end()) for m in _PAIR.finditer(text)]
+    at += [(m.start(), m.end()) for m in _CUE.finditer(text)]
     at += [(p, p + 1) for p in more or ()]
     at.sort()
     merged: list[list[int]] = []
@@ -130,7 +130,7 @@ def tokens(text: str, a: int, b: int) -> list[tuple[int, int, str]]:
 _cache: dict[str, int] = {}
 MASK = {"email": [0, 2], "address": [0, 5], "phone": [0, 3, 4], "idnum": [0, 3, 4], "word": [0, 1], "sign": [0, 1], "mixed": [0], "line": [0]}
 ALLOWED = {t: np.array([0.0 if i in m else -1e4 for i in range(len(LABELS))], np.float32) for t, m in MASK.items()}
-FEATURES = 17
+FEATURES = 20
 
 
 def _fid(f: str) -> int:
@@ -154,22 +154,25 @@ def _form(w: str, kind: str) -> str:
     return kind + ":" + re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", lambda m: str(len(m.group())), w))[:24]
 
 
-def features(text: str, toks: list[tuple[int, int, str]]) -> list[list[int]]:
-    """FEATURES feature numbers per token: itself and its neighbours, by word and by form."""
-    low, form = ["<", "<", "<"], ["<", "<", "<"]
+def features(text: str, toks: list[tuple[int, int, str]], unlisted: set[str] | frozenset[str] = frozenset()) -> list[list[int]]:
+    """FEATURES feature numbers per token: itself and its neighbours, by word, by form and by being a known word; ``unlisted`` words count as not known."""
+    low, form, known = ["<", "<", "<"], ["<", "<", "<"], known_words()
     for a, b, kind in toks:
         w = text[a:b]
         low.append(w.lower() if kind in ("word", "sign", "line") else kind)
         form.append(_form(w, kind))
     low += [">", ">", ">"]
     form += [">", ">", ">"]
+    listed = ["1" if x in known and x not in unlisted else "0" for x in low]
     out = []
     for i in range(3, len(low) - 3):
         w, p, q, n, m, f = low[i], low[i - 1], low[i - 2], low[i + 1], low[i + 2], form[i]
+        k = listed[i] + f
         out.append([_fid(x) for x in (
             "f" + f, "w" + w, "p" + p, "q" + q, "n" + n, "m" + m, "P" + p + "|" + f, "N" + n + "|" + f, "pq" + q + "|" + p, "nm" + n + "|" + m,
             "s" + w[-3:] + f, "F" + form[i - 1] + f, "G" + f + form[i + 1], "H" + form[i - 2] + form[i - 1] + f + form[i + 1], "r" + low[i - 3] + q, "t" + low[i + 2] + low[i + 3],
             "K" + form[i - 1] + f + form[i + 1] + form[i + 2],
+            "k" + k, "j" + listed[i - 1] + form[i - 1] + k, "l" + k + listed[i + 1] + form[i + 1] + form[i + 2],
         )])
     return out
 
@@ -261,7 +264,7 @@ def decide(field: Field, docs: list[int], keys: list[list[str]], feats: list[lis
 
 
 def _share(w: str, kind: str) -> str:
-    return w.lower() if kind == "word" and len(w) > 3 and not w.islower() and w.lower() not in known_words() else ""
+    return w.lower() if kind == "word" and len(w) > 3 and not w.islower() else ""
 
 
 def _labelled(field: Field, texts: dict[int, str], more: dict[int, list[int]]) -> dict[int, list[tuple[int, int, str]]]:
@@ -293,8 +296,7 @@ def _labelled(field: Field, texts: dict[int, str], more: dict[int, list[int]]) -
                 a, b = i, j
                 while a < b and part[a][2] != "word":
                     a += 1
-                # a known word at its end begins the next sentence
-                while b > a and (part[b - 1][2] != "word" or b - a > 1 and text[part[b - 1][0]: part[b - 1][1]].lower() in known_words()):
+                while b > a and part[b - 1][2] != "word":
                     b -= 1
                 if a < b and any(part[x][1] - part[x][0] > 1 for x in range(a, b)):
                     found[d].append((part[a][0], part[b - 1][1], "name"))

@@ -11,12 +11,16 @@ from strandloom.llm.pii import ALLOWED, BITS, FEATURES, KIND, LABELS, REACH, RUE
 #: labelled windows that are made, and passes over them
 WINDOWS = 9000
 PASSES = 4
+#: share of a window's words that training shows as not listed
+UNLISTED = 0.15
 
 # Parts of made-up names, places and words.
 GIVEN = "an ar be bri ca da de el em fa fi ga gre ha he il is jo ju ka ki la le lu ma mi na ni o pa pe ra ri sa si ta te u va vi we xa ya zo".split()
 GIVEN_END = "a as en ia id ik in is ko la le lin mo na ne nor ro ria sa ta to us win".split()
 FAMILY = "al ber blo bra car dal der el fal fros gar gil hal har hol jan kal kel kra lan lar mar mon nor oss pal per ram ros sel ster tal tor ul ver wal wer zim".split()
 FAMILY_END = "ski ska son sen berg man mann ford ley ton sworth bach holt ini elli ard ander enko ov ova ez es er mont wick tree rell qvist ström by akis uelo ian escu ley stein".split()
+# Surnames that are also ordinary words, or that methods and cells are named after.
+SURNAMES = "meier fisher kaplan best rose ring lane student west north south court golgi wood hill long short white black brown green young page cook baker king bishop day may field mill stone frost rank tilt cross cage counts".split()
 CONTEXTS = r"""Please ask {N} before thawing anything.
 Ask {N} first.
 According to {N} the cage was opened twice.
@@ -214,6 +218,8 @@ def _given(r: random.Random) -> str:
 
 
 def _family(r: random.Random) -> str:
+    if r.random() < 0.15:
+        return r.choice(SURNAMES).capitalize()
     return ("".join(r.choice(FAMILY) for _ in range(r.choice((1, 1, 2)))) + r.choice(FAMILY_END)).capitalize()
 
 
@@ -318,7 +324,7 @@ def labelled(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]
 
 def train(windows: int = WINDOWS, passes: int = PASSES, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the field by gradient ascent of the likelihood (AdaGrad, small L2), deterministic."""
-    rows = []
+    rows, draw = [], random.Random(seed)
     for text, gold in labelled(windows, seed):
         t = tokens(text, 0, len(text))[:90]
         if not t:
@@ -327,7 +333,9 @@ def train(windows: int = WINDOWS, passes: int = PASSES, seed: int = 3) -> tuple[
         for a, b, kind in t:
             k = next((KIND[g] for x, z, g in gold if (a >= x and b <= z) or (kind not in ("word", "sign") and a < z and b > x)), 0)
             y.append(k if ALLOWED[kind][k] == 0 else 0)
-        rows.append((features(text, t), [k for _, _, k in t], y))
+        # Some words are shown as if they were not listed, since most words of other texts are not.
+        unlisted = {w for w in sorted({text[a:b].lower() for a, b, _ in t}) if draw.random() < UNLISTED}
+        rows.append((features(text, t, unlisted), [k for _, _, k in t], y))
     k = len(LABELS)
     unary, pair = np.zeros((1 << BITS, k)), np.zeros((k, k))
     su, sp = np.full(unary.shape, 1e-8), np.full(pair.shape, 1e-8)

@@ -316,6 +316,23 @@ def test_cases(field, text, want):
     assert [(k, text[a:b]) for a, b, k in pii.spans(f, [text])[0]] == want
 
 
+LISTED = [
+    ("Herr Meier hat angerufen.", ["Meier"]),
+    ("Dr. Fisher signed the transfer form.", ["Fisher"]),
+    ("Please ask Anna Fisher before thawing anything.", ["Anna Fisher"]),
+    ("Mrs Rose wrote back.", ["Rose"]),
+    ("Dr. Bead called.", ["Bead"]),
+    ("A Fisher test was run. Best counts rose in the lane.", []),
+]
+
+
+@pytest.mark.parametrize("text,want", LISTED)
+def test_known_words_may_be_names(field, text, want):
+    f = pii.Field(field[0].astype(np.float32), field[1])
+    assert [text[a:b] for a, b, _ in pii.spans(f, [text])[0]] == want
+    assert not want or pii.redact(text, pii.spans(f, [text])[0]) == text.replace(want[0], "[NAME]")
+
+
 def test_skips_carry_a_label(field):
     f = pii.Field(field[0].astype(np.float32), field[1])
     text = "Please ask Wren Brannsworth before thawing anything. " + "Counts were summed before scaling. " * 5 + "The tube of Brannsworth was lost, and Brannsworth wrote it down."
