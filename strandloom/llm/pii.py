@@ -1,8 +1,8 @@
 """Personal information in free text: a skip-chain conditional random field.
 
 Candidates of fixed form (addresses, numbers, e-mails) become one token each;
-words stay single.  A linear-chain field over the windows around candidates
-labels every token; tokens of one document that repeat each other share a
+words stay single.  A linear-chain field over the whole text labels every
+token; tokens of one document that repeat each other share a
 potential, and messages pass along chains and these skips in turn until the
 labels of a document agree.  The field is trained here, on labelled sentences
 made by :mod:`strandloom.llm.pii_training`.
@@ -27,8 +27,8 @@ PLACEHOLDER = {k: f"[{k.upper()}]" for k in LABELS[1:]}
 BITS = 17
 SKIP = 1.3  # share of the surest other mention's log-odds that reaches a mention
 ROUNDS = 2
-WIDE = 60  # and as many more on both sides of the sign of an e-mail address
-REACH = 40  # characters of a window on both sides of a trigger
+STRETCH = 60  # tokens that are labelled at a time
+LEAD = 8  # and as many more on both sides, to be seen by them
 
 # ---- candidates --------------------------------------------------------------
 
@@ -60,17 +60,6 @@ _TOKEN = re.compile(
     _FIXED + r"|(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+)*)(?![\d_])|(?P<mixed>[\w]+)|(?P<line>\n+)|(?P<sign>[^\w\s])",
     re.I,
 )
-# Words before which a person may stand; before the second group only with a capital.
-CUES = "dr prof mr mrs ms mme mlle herr herrn frau cc attn ask donor patient by contact submitter name übergab par regards dear thanks wishes best cheers grüße cordialement".split()
-WEAK_CUES = "to from von for with and".split()
-_CUE = re.compile(rf"(?<!\w)(?:(?:{'|'.join(CUES)}|contact_name|according to)(?!\w)[.,:\"]*[ \n]?\"?|--[ ]?\n|(?:{'|'.join(WEAK_CUES)})[ ](?=(?-i:[A-ZÀ-Þ])))(?P<next>[^\W\d_]+)(?![\w])", re.I)
-_PAIR = re.compile(r"(?<!\w)(?P<a>[A-ZÀ-Þ](?:[^\W\d_]+,?(?=[ ])|\.))[ ]?(?P<b>[A-ZÀ-Þ](?:[^\W\d_]{2,}|\.))(?![\w])|(?<!\w)[A-ZÀ-Þ][a-zß-ÿ]+-[A-ZÀ-Þ][a-zß-ÿ]+(?!\w)")
-# Every candidate of fixed form holds one of these.
-_ANCHOR = re.compile(rf"@|[(\[{{<]at[)\]}}>]|[ ]at[ ](?=[\w-]+(?:\.[a-z]|[ ]?[(\[{{]|[ ]dot[ ]))|\d[\d ().+/-]{{4,}}\d", re.I)
-_STREET = re.compile(rf"[ ](?:{'|'.join(STREET + RUE)})\b", re.I)
-_NUMBERED = re.compile(r"[ ](?=\d)")
-_DIGIT = re.compile(r"\d")
-_ENDS = tuple(STRASSE)
 _STREET_WORDS = frozenset(STREET + STRASSE + RUE)
 _known: set[str] = set()
 
@@ -85,32 +74,6 @@ def known_words() -> set[str]:
     return _known
 
 
-def windows(text: str, more: list[int] | None = None) -> list[tuple[int, int]]:
-    """Stretches around all that may be a candidate or stand before one, and around the places ``more``, cut at blanks."""
-    n, low = len(text), text.lower()
-    if len(low) != n:
-        low = text
-    at = [(m.start() - WIDE, m.end() + WIDE) if not text[m.start()].isdigit() else (m.start(), m.end()) for m in _ANCHOR.finditer(text)]
-    at += [(m.start(), m.end()) for m in _STREET.finditer(text) if _DIGIT.search(text, max(0, m.start() - 36), m.start())]
-    at += [(m.start(), m.end()) for m in _NUMBERED.finditer(text) if low[max(0, m.start() - 8): m.start()].rstrip(".").endswith(_ENDS)]
-    at += [(m.start(), m.end()) for m in _PAIR.finditer(text)]
-    at += [(m.start(), m.end()) for m in _CUE.finditer(text)]
-    at += [(p, p + 1) for p in more or ()]
-    at.sort()
-    merged: list[list[int]] = []
-    for a, b in at:
-        a, b = max(0, a - REACH), min(n, b + REACH)
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < n and not text[b].isspace():
-            b += 1
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    return [(a, b) for a, b in merged]
-
-
 def tokens(text: str, a: int, b: int) -> list[tuple[int, int, str]]:
     """(start, end, type) of a window's tokens."""
     out, known = [], known_words()
@@ -128,7 +91,7 @@ def tokens(text: str, a: int, b: int) -> list[tuple[int, int, str]]:
 # ---- features -----------------------------------------------------------------
 
 _cache: dict[str, int] = {}
-MASK = {"email": [0, 2], "address": [0, 5], "phone": [0, 3, 4], "idnum": [0, 3, 4], "word": [0, 1], "sign": [0, 1], "mixed": [0], "line": [0]}
+MASK = {"email": [0, 2], "address": [0, 5], "phone": [0, 3, 4], "idnum": [0, 3, 4], "word": [0, 1], "sign": [0, 1], "mixed": [0], "line": [0, 1]}
 ALLOWED = {t: np.array([0.0 if i in m else -1e4 for i in range(len(LABELS))], np.float32) for t, m in MASK.items()}
 FEATURES = 20
 
@@ -267,26 +230,26 @@ def _share(w: str, kind: str) -> str:
     return w.lower() if kind == "word" and len(w) > 3 and not w.islower() else ""
 
 
-def _labelled(field: Field, texts: dict[int, str], more: dict[int, list[int]]) -> dict[int, list[tuple[int, int, str]]]:
+def spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    """(start, end, kind) of the personal information in each text, from left to right; every token of a text is labelled."""
     docs, keys, feats, kinds, toks = [], [], [], [], []
-    for d, text in texts.items():
-        for a, b in windows(text, more.get(d)):
-            t = tokens(text, a, b)
-            for s in range(0, len(t), 60):  # long windows are taken in overlapping stretches
-                lead = min(8, s)
-                part = t[s - lead: s + 68]
-                docs.append(d), toks.append((part, lead, s + 60 < len(t)))
-                feats.append(features(text, part))
-                # a window's outermost tokens are only there to be seen by their neighbours
-                n = len(part)
-                first, last = (0 if a == 0 and s == 0 else 3), (n if b == len(text) and s + 68 >= len(t) else n - 3)
-                kinds.append([k if first <= x < last else "mixed" for x, (_, _, k) in enumerate(part)])
-                keys.append([_share(text[x:y], k) for x, y, k in part])
+    for d, text in enumerate(texts):
+        t = tokens(text, 0, len(text))
+        for s in range(0, len(t), STRETCH):  # long texts are taken in overlapping stretches
+            lead = min(LEAD, s)
+            part = t[s - lead: s + STRETCH + LEAD]
+            docs.append(d), toks.append((part, lead, s + STRETCH < len(t)))
+            feats.append(features(text, part))
+            # a stretch's outermost tokens are only there to be seen by their neighbours
+            n = len(part)
+            first, last = (0 if s == 0 else 3), (n if s + STRETCH + LEAD >= len(t) else n - 3)
+            kinds.append([k if first <= x < last else "mixed" for x, (_, _, k) in enumerate(part)])
+            keys.append([_share(text[x:y], k) for x, y, k in part])
     labels = decide(field, docs, keys, feats, kinds)
-    found: dict[int, list[tuple[int, int, str]]] = {d: [] for d in texts}
+    found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for d, (part, i, more_follows), lab in zip(docs, toks, labels):
         text = texts[d]
-        stop = min(len(part), i + 60) if more_follows else len(part)
+        stop = min(len(part), i + STRETCH) if more_follows else len(part)
         while i < stop:
             k = int(lab[i])
             j = i + 1
@@ -303,28 +266,7 @@ def _labelled(field: Field, texts: dict[int, str], more: dict[int, list[int]]) -
             elif k:
                 found[d].append((part[i][0], part[i][1], LABELS[k]))
             i = j
-    return {d: sorted(set(f)) for d, f in found.items()}
-
-
-def spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """(start, end, kind) of the personal information in each text, from left to right.
-
-    Words of a name found once are looked up in the rest of their text; those
-    places become windows too, and the text is labelled again as a whole, with
-    its skips.
-    """
-    found = _labelled(field, dict(enumerate(texts)), {})
-    more: dict[int, list[int]] = {}
-    for d, f in found.items():
-        names = {w for a, b, k in f if k == "name" for w in re.findall(r"[^\W\d_]{4,}", texts[d][a:b]) if not w.islower()}
-        if names:
-            known = [(a, b) for a, b, _ in f]
-            for m in re.finditer(r"(?<![\w@.+-])(?:" + "|".join(map(re.escape, sorted(names))) + r")(?![\w@])", texts[d]):
-                if not any(a <= m.start() < b for a, b in known):
-                    more.setdefault(d, []).append(m.start())
-    if more:
-        found |= _labelled(field, {d: texts[d] for d in more}, more)
-    return [found[d] for d in range(len(texts))]
+    return [sorted(set(f)) for f in found]
 
 
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:

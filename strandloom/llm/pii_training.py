@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from strandloom.llm.pii import ALLOWED, BITS, FEATURES, KIND, LABELS, REACH, RUE, STRASSE, STREET, Field, features, tokens
+from strandloom.llm.pii import ALLOWED, BITS, FEATURES, KIND, LABELS, RUE, STRASSE, STREET, Field, features, tokens
 
 #: labelled windows that are made, and passes over them
 WINDOWS = 9000
@@ -21,6 +21,8 @@ FAMILY = "al ber blo bra car dal der el fal fros gar gil hal har hol jan kal kel
 FAMILY_END = "ski ska son sen berg man mann ford ley ton sworth bach holt ini elli ard ander enko ov ova ez es er mont wick tree rell qvist ström by akis uelo ian escu ley stein".split()
 # Surnames that are also ordinary words, or that methods and cells are named after.
 SURNAMES = "meier fisher kaplan best rose ring lane student west north south court golgi wood hill long short white black brown green young page cook baker king bishop day may field mill stone frost rank tilt cross cage counts".split()
+PARTICLES = "van|de|von|van der|de la|di|da|del|ter|zu|al|bin|Van|De|Le".split("|")
+SHORT = "li wu xu yu ma he hu lu an ng wei bo qi le do ho ko oh ek ay jo al ed".split()
 CONTEXTS = r"""Please ask {N} before thawing anything.
 Ask {N} first.
 According to {N} the cage was opened twice.
@@ -114,7 +116,21 @@ Handed to {N} today.
 {N}, {T}\nTel. {P}
 {N}\n{E}\nT: {P}
 Dr. {N}\n{A}, {T}
--- \n{N}\n{P}""".split("\n")
+-- \n{N}\n{P}
+The tube of {N} was lost.
+The notes of {N} were lost.
+Samples of {N} were thawed twice.
+Yesterday {N} opened the cage.
+Later {N} wrote the report.
+{N} wrote the protocol in spring.
+{N} and {N} read the slides blind.
+The key was left with {N} for the night.
+The box went to {N}. Counts were summed.
+The sheet names {N} as a witness.
+In May {N} moved the freezer; {N} kept the list.
+We thank {N} for the mice.
+Gestern hat {N} den Käfig geöffnet.
+Hier {N} a ouvert la cage.""".split("\n")
 PLAIN = r"""The {t} libraries of run {c} show a strong 3' bias and were down-weighted.
 In {t}, {g} followed {x} more closely than {g} did.
 Counts for {g} and {g} were summed over all transcripts before scaling.
@@ -202,7 +218,20 @@ Ribosomal reads made up {d} percent in the {u} that had waited longest.
 Library size varied {d}-fold, mostly because the {u}s from {t} were small.
 The design is a full cross of {x} and {x} with {d} replicates per cell.
 Assuming that {x} holds, which of {d} days, given that poly-A counts fell, comes first: {x}; {x}; {x}?
-Word list: nascent in of density and kept beside or Given would chamber loading State on controls it.""".split("\n")
+Word list: nascent in of density and kept beside or Given would chamber loading State on controls it.
+The {w} {w} of {w} were {w} and {w}.
+{W} {w}, {w} and {w} came from {w} {w}.
+A full list of {w} {w} and {w} {w} by {w} was kept.
+It was lost owing to {w} {w} from {w} {w} of {w}.
+Word list: in {w}; {W}, the {w} / {w}, {H}; {w} on the {H}, of {W} {w}.
+{x} / {w}, the; {H}, {w} and, {w}; on / {H}
+{d} {w} {w} held {H} at {d} {w}s and {w} {w} for {w}.
+{W} {w} of the {w} {t}, {w} by {w} {d}, from {w} and to {w}.
+The {H} {w} and its {w} {w}: {w}, {w} or {w}?""".split("\n")
+# Ordinary words for any place of a plain sentence.
+WORDS = "above acid active aged again air annual basic bent blank blind blue bound bright broken brown buffer calm careful clean clear close coarse common cooled count daily damp dark dense double dry early empty even event exact faint false fast final fine firm flat formal fresh frozen full gentle glass grave group guide half hand heavy hidden hollow ideal idle inner joint keen kind later layer level light limit linear local loose lower main major mean method middle mild minor model moist motor narrow native neat noise normal novel odd open outer pale paper partial patient phase plain plastic prior proper pulse pure quick quiet random rapid rare raw recent regular rigid rough round safe second sharp shelf short signal silent simple single slow small smooth soft solid spare stable steady steel steep strange strict strong subtle sudden surface table tight total tray uneven upper usual valid value vapour various visible vital volume warm waste water weak weekly wet wide yield".split()
+ONSETS = "b br c ch cl d dr f fl g gr h j l m n p pl pr qu r s sh sp st str t th tr v w".split()
+ENDINGS = "ction ctions ted ting r rs l ls t ts d nt nts n ns se ve te ly lity sm st th ph ck y ria va rage light mals".split()
 TISSUES = "liver|kidney cortex|left ventricle|lung|spleen|bone marrow|soleus muscle|dorsal skin|retina|optic nerve|hippocampus|olfactory bulb|spinal cord|adrenal gland|brown adipose tissue|aorta".split("|")
 EXPOSURES = "noise exposure|skeletal unloading|low dose rays|a short fast|light at night|cold|whole-body rotation|the circadian phase|isoflurane|diet shift|loss of loading|mild hypothermia|stress from handling".split("|")
 UNITS = "batch|pellet|section|aliquot|cohort|library|barcode|arm|sample|carcass".split("|")
@@ -223,6 +252,13 @@ def _family(r: random.Random) -> str:
     return ("".join(r.choice(FAMILY) for _ in range(r.choice((1, 1, 2)))) + r.choice(FAMILY_END)).capitalize()
 
 
+def _word(r: random.Random) -> str:
+    """An ordinary word, or a made-up one that looks like one."""
+    if r.random() < 0.4:
+        return r.choice(WORDS)
+    return "".join(r.choice(ONSETS) + r.choice("aeiou") for _ in range(r.choice((1, 2, 2, 3)))) + r.choice(ENDINGS)
+
+
 def _place(r: random.Random) -> str:
     p = (r.choice(FAMILY) + r.choice("field wick holm fen mere stadt brun dorf ville ton by".split())).capitalize()
     return f"Port {p}" if r.random() < 0.1 else p
@@ -232,6 +268,16 @@ def person(r: random.Random) -> str:
     g, f, i = _given(r), _family(r), r.choice("ABCDEFGHIJKLMNOPRSTVWZ")
     if r.random() < 0.12:
         f += "-" + _family(r)
+    if r.random() < 0.08:
+        f = r.choice(PARTICLES) + " " + f
+    elif r.random() < 0.05:
+        f = r.choice(("O'", "O’", "D'", "Mc")) + f
+    elif r.random() < 0.06:
+        f = r.choice(SHORT).capitalize()
+    if r.random() < 0.05:
+        g = r.choice(SHORT).capitalize()
+    if r.random() < 0.06:
+        return f"{g}{r.choice(('  ', chr(10), chr(9), '   '))}{f}"
     return r.choice([f"{g} {f}"] * 6 + [f"{g} {i}. {f}"] * 2 + [f"{i}. {f}"] * 2 + [f] * 2 + [f"{f}, {g}"] * 2)
 
 
@@ -284,7 +330,7 @@ def sentence(r: random.Random) -> list[tuple[str, str]]:
     """(text, label) pieces of one sentence."""
     made = {"N": ("name", person), "E": ("email", email), "P": ("phone", phone), "I": ("idnum", idnum), "A": ("address", address)}
     plain = {
-        "T": _place, "L": lambda r: r.choice(ID_LABELS), "t": lambda r: r.choice(TISSUES), "x": lambda r: r.choice(EXPOSURES), "X": lambda r: r.choice(EXPOSURES).capitalize(), "u": lambda r: r.choice(UNITS), "g": _gene,
+        "T": _place, "L": lambda r: r.choice(ID_LABELS), "t": lambda r: r.choice(TISSUES), "x": lambda r: r.choice(EXPOSURES), "X": lambda r: r.choice(EXPOSURES).capitalize(), "u": lambda r: r.choice(UNITS), "w": _word, "W": lambda r: _word(r).capitalize(), "g": _gene,
         "c": lambda r: r.choice("ABDHKPRT") + str(r.randint(1, 99)) + r.choice(["", "-a", "/2", "x"]), "d": lambda r: str(r.randint(1, 99)), "K": lambda r: r.choice(["QQ", "XQ", "ZZ", "AB"]),
         "H": lambda r: (r.choice(FAMILY) + r.choice(FAMILY)).capitalize(),
     } | {f"d{n}": (lambda n: lambda r: _digits(r, n))(n) for n in (3, 4, 5, 6, 8, 9)}

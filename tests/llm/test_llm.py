@@ -333,6 +333,26 @@ def test_known_words_may_be_names(field, text, want):
     assert not want or pii.redact(text, pii.spans(f, [text])[0]) == text.replace(want[0], "[NAME]")
 
 
+FORMS = [
+    "Later Sean O'Brien wrote the report.",
+    "The notes of Ludwig van Beethoven were lost.",
+    "Samples of Maria de Souza were thawed twice.",
+    "The tube of Anna  Berg was lost.",
+    "The tube of Anna\nBerg was lost.",
+    "the tube of anna berg was lost.",
+    "The notes of Wei Li were lost.",
+]
+NAMED = ["Sean O'Brien", "Ludwig van Beethoven", "Maria de Souza", "Anna  Berg", "Anna\nBerg", "anna berg", "Wei Li"]
+
+
+@pytest.mark.parametrize("text,want", list(zip(FORMS, NAMED)))
+def test_names_far_from_any_cue(field, text, want):
+    f = pii.Field(field[0].astype(np.float32), field[1])
+    around = "Counts were summed over all transcripts before scaling. " * 3
+    text = around + text + " " + around
+    assert [(k, text[a:b]) for a, b, k in pii.spans(f, [text])[0]] == [("name", want)]
+
+
 def test_skips_carry_a_label(field):
     f = pii.Field(field[0].astype(np.float32), field[1])
     text = "Please ask Wren Brannsworth before thawing anything. " + "Counts were summed before scaling. " * 5 + "The tube of Brannsworth was lost, and Brannsworth wrote it down."
