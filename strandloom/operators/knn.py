@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.session import spread
+from strandloom.session import cut, spread
 
 #: query values (rows times dimensions) in one block
 BLOCK = 4_000_000
@@ -100,3 +100,53 @@ def knn(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str, ive
     out = scores(queries, qid, qvec, index, iid, ivec, dim, k, metric, exclude_self)
     w = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def nearer(pairs: DataFrame, index: DataFrame, iid: str, ivec: str, dim: int) -> DataFrame:
+    """qid, id, n: for each of ``pairs`` (qid, id, q, v) how many index vectors are strictly nearer to q than v is, by squared distance.
+
+    Pairs travel in blocks like queries do; each task counts its own rows, and the
+    counts are summed.  Unusable vectors (see :func:`knn`) take no part.
+    """
+    rows = spread(index.select(F.col(iid).cast("long").alias("id"), F.col(ivec).alias("v")).filter("id is not null and v is not null"))
+    held = cut(pairs.select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id"), "q", "v"), "pairs")
+    blocks = max(1, -(-held.count() * 2 * dim // BLOCK))
+    out = None
+    for b in range(blocks):
+        part = held.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
+        kq, q = matrix(part.column("q"), dim)
+        kv, v = matrix(part.column("v"), dim)
+        both, iq, iv = np.intersect1d(kq, kv, return_indices=True)
+        if not len(both):
+            continue
+        qids, ids = (part.column(c).take(pa.array(both)).to_numpy() for c in ("qid", "id"))
+        order = np.argsort(qids, kind="stable")
+        found = rows.mapInArrow(_counter(qids[order], ids[order], q[iq][order], v[iv][order]), "qid long, id long, n long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return index.sparkSession.createDataFrame([], "qid long, id long, n long")
+    return out.groupBy("qid", "id").agg(F.sum("n").alias("n"))
+
+
+def _squared(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances, summed in one fixed order so that equal points have equal ones."""
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += (x[:, j] - q[j]) ** 2
+    return total
+
+
+def _counter(qids: np.ndarray, ids: np.ndarray, q: np.ndarray, v: np.ndarray):
+    start = np.flatnonzero(np.r_[True, qids[1:] != qids[:-1]])
+    end = np.r_[start[1:], len(qids)]
+    limits = [_squared(v[a:b], q[a]) for a, b in zip(start, end)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(qids), np.int64)
+        for batch in batches:
+            _, x = matrix(batch.column(1), q.shape[1])
+            for a, b, limit in zip(start, end, limits):
+                n[a:b] += np.searchsorted(np.sort(_squared(x, q[a])), limit, side="left")
+        yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(ids), pa.array(n)], names=["qid", "id", "n"])
+
+    return run

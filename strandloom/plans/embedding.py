@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import vec
 from strandloom.operators import encoder, layout, pca
-from strandloom.operators.knn import knn, scores
+from strandloom.operators.knn import knn, nearer, scores
 from strandloom.plans.registry import Registry
+from strandloom.session import cut
 from strandloom.tables import read
 
 R = Registry()
@@ -155,6 +156,20 @@ def map_rank(spark, d):
     return e.groupBy("qid", F.col("p.id").alias("id")).agg(F.count_if(F.col("s") > F.col("p.s")).alias("rank_all"))
 
 
+@query(f"""with {PAIRS}, {_topk(10, 'qid <> id')}, c as (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings),
+ h as (select t.qid, t.id, t.rank, q.x as qx, q.y as qy, (x.x - q.x) * (x.x - q.x) + (x.y - q.y) * (x.y - q.y) as d2 from t join c q on q.vec_id = t.qid join c x on x.vec_id = t.id)
+ select h.qid, h.id, h.rank, (select count(*) from c where (c.x - h.qx) * (c.x - h.qx) + (c.y - h.qy) * (c.y - h.qy) < h.d2) as map_rank from h""")
+def map_rank_hits(spark, d):
+    """For every hit of every query its rank by cosine, and how many of all vectors are strictly nearer to the query on the map (the query itself counts)."""
+    c = embeddings(spark, d).select("vec_id", F.slice("embedding", 1, 2).alias("xy"))
+    hits = neighbours(spark, d, exclude_self=True).select("qid", "id", F.col("rank").cast("long").alias("rank"))
+    hits = cut(hits, "hits")
+    at = lambda name, xy: c.select(F.col("vec_id").cast("long").alias(name), F.col("xy").alias(xy))
+    pairs = hits.join(at("qid", "q"), "qid").join(at("id", "v"), "id")
+    n = nearer(pairs, c, "vec_id", "xy", 2)
+    return hits.join(n, ["qid", "id"]).select("qid", "id", "rank", F.col("n").alias("map_rank"))
+
+
 @query("""select count(*) as n, round(min(n0), 6) as low, round(avg(n0), 6) as mean, round(max(n0), 6) as high from (select sqrt(list_dot_product(embedding::double[], embedding::double[])) as n0 from sample_embeddings where embedding is not null)""")
 def norm_stats(spark, d):
     n = read(spark, d, "sample_embeddings").filter("embedding is not null").select(vec.norm(F.col("embedding")).alias("n0"))

@@ -212,3 +212,23 @@ def test_records_and_gates(tmp_path, spark):
     assert gates.mixing(54)[-1] == "WARN" and all(r[-1] == "OK" for r in gates.spectrum([0.4, 0.6], 2))
     sinks.write_coords(spark.createDataFrame([(1, 0.5)], "id int, x double"), str(tmp_path / "c"), "pca", 2)
     assert spark.read.parquet(str(tmp_path / "c")).filter("method = 'pca'").count() == 1
+
+
+def test_map_ranks_of_all_hits(spark):
+    from strandloom.operators.knn import nearer
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 2)), 1)  # with ties
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(900, None), (901, [1.0])], "id long, xy array<double>")
+    want = {(q, i): sum(float(((y - x[q]) ** 2)[0] + ((y - x[q]) ** 2)[1]) < float(((x[i] - x[q]) ** 2)[0] + ((x[i] - x[q]) ** 2)[1]) for y in x) for q in (0, 100, 200) for i in range(q, 300, 7)}
+    pairs = spark.createDataFrame([(q, i, x[q].tolist(), x[i].tolist()) for q, i in want], "qid long, id long, q array<double>, v array<double>")
+    assert {(r.qid, r.id): r.n for r in nearer(pairs, rows, "id", "xy", 2).collect()} == want
+    assert nearer(pairs.limit(0), rows, "id", "xy", 2).count() == 0
+
+
+def test_map_ranks_cover_every_query(spark, data):
+    from strandloom.plans import embedding
+
+    queries = {r.vec_id for r in embedding.asked(spark, data).collect()}
+    got = embedding.map_rank_hits(spark, data).collect()
+    assert {r.qid for r in got} == queries and len(got) == 10 * len(queries) and max(r.id for r in got) > 20
