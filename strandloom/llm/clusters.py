@@ -127,7 +127,7 @@ def cluster(df: DataFrame, key: str, vec: str, dim: int, least: float = 0.90, sm
     """
     spark = df.sparkSession
     sample, n = sample_matrix(df, key, vec, dim)
-    if not len(sample):
+    if not n:
         none = spark.createDataFrame([], "key string, cluster_key string")
         return none, spark.createDataFrame([], "cluster_key string, size long, typical_key string")
     piv = fit_pivots(sample, pivot_count(n))

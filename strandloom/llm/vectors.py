@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: vectors at most that the pivots are fitted on (about, by a hash of the id; twice as many is a hard limit)
+#: vectors at most that the pivots are fitted on (about, by a hash of id and vector; twice as many is a hard limit)
 SAMPLE = 8192
 MAX_PIVOTS = 2048
 #: nearest pivots in a vector's order
@@ -59,13 +59,33 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 
 def sample_matrix(df: DataFrame, ident: str, vec: str, dim: int, size: int = SAMPLE) -> tuple[np.ndarray, int]:
-    """About ``size`` unit vectors picked by a hash of their id, and the row count of ``df``."""
-    n = df.count()
-    part = min(1.0, size / max(n, 1))
-    picked = df.filter(F.pmod(F.xxhash64(ident), F.lit(1_000_000)) < int(math.ceil(part * 1_000_000))).select(ident, vec).limit(2 * size).toArrow()
-    order = np.argsort(np.array([str(x) for x in picked.column(0).to_pylist()]), kind="stable") if picked.num_rows else np.empty(0, int)
-    keep, m = to_matrix(picked.column(1).take(pa.array(order)) if picked.num_rows else picked.column(1), dim)
-    return unit(m) if len(keep) else m, n
+    """About ``size`` unit vectors picked by a hash of id and vector, and the count of rows that have an id and a usable vector.
+
+    Repeated rows are picked once.  The sample is empty only if that count is 0.
+    """
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(to_matrix(b.column(1), dim)[0]) for b in batches)], pa.int64())], names=["n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, m = to_matrix(b.column(1), dim)
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(pack(m), pa.binary())], names=["h", "v"])
+
+    src = df.filter(F.col(ident).isNotNull() & F.col(vec).isNotNull()).select(F.xxhash64(ident, vec).alias("h"), vec)
+    n = src.mapInArrow(counts, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not n:
+        return np.empty((0, dim), np.float32), 0
+
+    def pick(rows: DataFrame, most: int) -> np.ndarray:
+        return unpack(rows.mapInArrow(packed, "h long, v binary").dropDuplicates(["h"]).orderBy("h").limit(most).toArrow().column("v").to_pylist(), dim)
+
+    part = min(1.0, size / n)
+    m = pick(src.filter(F.pmod("h", F.lit(1_000_000)) < int(math.ceil(part * 1_000_000))), 2 * size)
+    if not len(m):  # few different rows that are repeated often
+        m = pick(src, size)
+    return unit(m), n
 
 
 def fit_pivots(sample: np.ndarray, count: int, rounds: int = 4) -> np.ndarray:
@@ -166,7 +186,7 @@ def similar(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str,
     spark = queries.sparkSession
     isample, n = sample_matrix(index, iid, ivec, dim)
     qsample, nq = sample_matrix(queries, qid, qvec, dim)
-    if not len(isample) or not len(qsample):
+    if not n or not nq:
         return spark.createDataFrame([], "q string, i long, cosine double")
     piv = fit_pivots(isample, pivot_count(n))
     count = len(piv)

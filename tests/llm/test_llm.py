@@ -103,6 +103,21 @@ def test_similar_against_brute_force(spark, points):
     assert vectors.similar(_table(spark, q, "k string"), "k", "embedding", _table(spark, [], "i long"), "i", "embedding", DIM).count() == 0
 
 
+def test_unusable_rows_take_no_place_in_the_sample(spark, points, monkeypatch):
+    monkeypatch.setattr(vectors.sample_matrix, "__defaults__", (40,))
+    bad = [(None, None)] * 300 + [(None, points[0])] * 300 + [(i + 5000, None if i % 2 else np.zeros(DIM)) for i in range(300)]
+    keys = [(None if i is None else f"k{i}", v) for i, v in bad]
+    for rows, want in ((enumerate(points), 600), (((1, p) for p in points[:1]), 1), (((1, points[0]) for _ in range(5000)), 5000)):
+        sample, n = vectors.sample_matrix(_table(spark, bad + list(rows), "i long"), "i", "embedding", DIM, 40)
+        assert n == want and 0 < len(sample) <= 80 and len(np.unique(sample, axis=0)) == len(sample)
+    index = _table(spark, bad + [(7, points[3])], "i long")
+    q = _table(spark, keys + [("q", points[3])], "k string")
+    assert [(r.q, r.i) for r in vectors.similar(q, "k", "embedding", index, "i", "embedding", DIM).collect()] == [("q", 7)]
+    three = _table(spark, keys + [(f"a{i}", points[3]) for i in range(3)], "k string")
+    members, described = clusters.cluster(three, "k", "embedding", DIM)
+    assert members.count() == 3 and [r.size for r in described.collect()] == [3]
+
+
 def test_files_are_split_without_loss(spark, points, monkeypatch):
     same = [(i, points[0]) for i in range(900)] + [(1000 + i, p) for i, p in enumerate(points)]
     q = _table(spark, [(f"q{i}", points[i]) for i in range(0, 60, 3)], "k string")
