@@ -370,6 +370,16 @@ def permuted_labels(spark, d):
     return positions(q, [sampling.ticket(SEED, "vec_id"), F.col("vec_id")], "place").select("place", "label")
 
 
+@query("""with a as (select vec_id, label, row_number() over (order by vec_id) as place from embeddings), b as (select label, row_number() over (order by md5('42|' || vec_id), vec_id) as place from embeddings)
+ select a.place, a.vec_id, a.label::bigint as label, b.label::bigint as permuted from a join b using (place)""")
+def permuted_labels_all(spark, d):
+    """Every row by id, with its own label and the label at the same place of the shuffled order."""
+    e = read(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
+    own = positions(e, [F.col("vec_id")], "place").select("place", "vec_id", "label")
+    drawn = positions(e, [sampling.ticket(SEED, "vec_id"), F.col("vec_id")], "place").select("place", F.col("label").alias("permuted"))
+    return own.join(drawn, "place").select("place", "vec_id", "label", "permuted")
+
+
 @query("select shard_idx::bigint as shard, row_in_shard::bigint as line, coalesce((select count(*) from sample_locations b where b.shard_idx < a.shard_idx), 0) + row_number() over (partition by shard_idx order by row_in_shard) - 1 as position from sample_locations a")
 def assign_global_index(spark, d):
     """Row number within the shard plus the counts of earlier shards (one row a shard)."""

@@ -232,3 +232,12 @@ def test_map_ranks_cover_every_query(spark, data):
     queries = {r.vec_id for r in embedding.asked(spark, data).collect()}
     got = embedding.map_rank_hits(spark, data).collect()
     assert {r.qid for r in got} == queries and len(got) == 10 * len(queries) and max(r.id for r in got) > 20
+
+
+def test_all_labels_are_permuted(spark, data):
+    from strandloom.plans import analytic
+
+    e = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "label").collect()
+    got = sorted(analytic.permuted_labels_all(spark, data).collect())
+    assert [(r.vec_id, r.label) for r in got] == sorted((r.vec_id, r.label) for r in e) and [r.place for r in got] == list(range(1, len(e) + 1))
+    assert sorted(r.permuted for r in got) == sorted(r.label for r in e) and any(r.permuted != r.label for r in got)
