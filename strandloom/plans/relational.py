@@ -327,6 +327,13 @@ def prompt_context(spark, d):
     return read(spark, d, "geo_records").select("gse", F.concat(F.lit("Series "), "gse", F.lit(": "), F.coalesce("title", F.lit("-")), F.lit("\n"), F.coalesce(F.substring("geo_summary", 1, 200), F.lit("-"))).alias("context"))
 
 
+@query("""select gse, 'Series ' || gse || ': ' || coalesce(title, '-') || chr(10) || coalesce(geo_summary, '-') || chr(10) || coalesce(geo_design, '-') as context from geo_records""")
+def prompt_context_whole(spark, d):
+    """The context with the whole summary and the whole design."""
+    part = lambda c: F.coalesce(c, F.lit("-"))
+    return read(spark, d, "geo_records").select("gse", F.concat(F.lit("Series "), "gse", F.lit(": "), part("title"), F.lit("\n"), part("geo_summary"), F.lit("\n"), part("geo_design")).alias("context"))
+
+
 @query("""select gse, trim(coalesce(geo_summary, '')) as summary, trim(coalesce(geo_design, '')) as design from geo_records""")
 def soft_parse(spark, d):
     soft = F.concat(F.lit("^SERIES = "), "gse", F.lit("\n!Series_summary = "), F.regexp_replace(F.coalesce("geo_summary", F.lit("")), "\n", "\r"), F.lit("\n!Series_overall_design = "), F.regexp_replace(F.coalesce("geo_design", F.lit("")), "\n", "\r"))

@@ -241,3 +241,12 @@ def test_all_labels_are_permuted(spark, data):
     got = sorted(analytic.permuted_labels_all(spark, data).collect())
     assert [(r.vec_id, r.label) for r in got] == sorted((r.vec_id, r.label) for r in e) and [r.place for r in got] == list(range(1, len(e) + 1))
     assert sorted(r.permuted for r in got) == sorted(r.label for r in e) and any(r.permuted != r.label for r in got)
+
+
+def test_context_holds_whole_summary_and_design(spark, tmp_path):
+    from strandloom.plans import relational
+
+    rows = [("GSE1", "t", "s" * 900, "d" * 700), ("GSE2", None, None, None)]
+    spark.createDataFrame(rows, "gse string, title string, geo_summary string, geo_design string").write.parquet(f"{tmp_path}/geo_records.parquet")
+    got = {r.gse: r.context for r in relational.prompt_context_whole(spark, str(tmp_path)).collect()}
+    assert got == {"GSE1": "Series GSE1: t\n" + "s" * 900 + "\n" + "d" * 700, "GSE2": "Series GSE2: -\n-\n-"}
