@@ -1,70 +1,98 @@
-"""Ordered regular-expression rules that fold free text to one vocabulary.
+"""Ordered stem rules that fold free text to one vocabulary.
 
-A rule list is a parameter: pairs of a bucket and one expression, first match
-wins.  Each rule becomes one ``rlike`` in a chained CASE, so a hundred stems cost
-one match.
+A rule list is a parameter: rows of a bucket and its stems, first match wins.
+Each rule becomes one ``rlike`` in a chained CASE, so a hundred stems cost one
+match.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OTHER, UNKNOWN = "Other", "Unknown"
 
-# The tissue vocabulary, in the order in which it is tried.  ``B`` stands for a word boundary before every alternative;
-# what follows ``~`` may stand inside a word.
-TISSUE_RULES: list[tuple[str, str]] = [
-    ("Bone marrow", r"B(bone marrow|marrow|ha?ematopoietic|hspc|cd34\+)"),
-    ("Blood / immune", r"B(blood|pbmc|buffy coat|serum|plasma|leu[kc]ocyte|(lympho|mono|granulo|erythro|mega?karyo|thymo)cyte|macrophage|(neutro|eosino|baso)phil|erythroid|platelet|dendritic cell"
-     r"|nk cell|natural killer|[tb][ -]cell|cd[48]|treg|myeloid|lymphoid|lymphoblastoid|lcl\b|gm12878|gm18|jurkat|k562|hl-60|thp-1)"),
-    ("Adrenal gland", r"B(adrenal (cortex|medulla))"),
-    ("Kidney", r"B(renal (cortex|medulla)|kidney cortex)"),
-    ("Brain / CNS", r"B(brain|cerebell|cerebrum|cerebral|cortex|hippocamp|hypothalam|thalamus|striatum|(mid|fore|hind)brain|amygdala|substantia nigra|neuron|neural|glia|astrocyte|oligodendrocyte"
-     r"|microglia|olfactory bulb|prefrontal|(frontal|temporal) lobe|occipital|putamen)"),
-    ("Nerve / spinal cord", r"B(spinal cord|sciatic|dorsal root|drg|peripheral nerve|schwann)"),
-    ("Liver", r"B(liver|hepat(ic|o)|hepg2)"),
-    ("Lung", r"B(lung|pulmonary|alveol|bronch|airway|a549|respiratory epithel)"),
-    ("Adrenal gland", r"B(adrenal)"),
-    ("Kidney", r"B(kidney|renal|nephron|podocyte|glomerul|hek ?293)"),
-    ("Heart", r"B(heart|cardiac|cardiomyocyte|myocardi|ventric(le|ular)|atri(um|al)|aortic valve)"),
-    ("Vasculature", r"B(smooth muscle|vascular smooth)"),
-    ("Skeletal muscle", r"B(skeletal muscle|muscle|soleus|gastrocnemius|quadriceps|tibialis|extensor digitorum|myotube|myoblast|myofib|sarcopenia|c2c12)"),
-    ("Skin", r"B(skin|epiderm|derm(is|al)|(keratino|melano)cyte|hair follicle|sebaceous)"),
-    ("Intestine", r"B(intestin|colon|colorectal|ile(um|al)|jejunum|duodenum|rect(um|al)|ca?ecum|bowel|gut|enteric|caco-2|crypt)"),
-    ("Stomach", r"B(stomach|gastric|antrum|pylor)"),
-    ("Esophagus", r"B(o?esophag)"),
-    ("Pancreas", r"B(pancrea|islet|beta cell|acinar)"),
-    ("Spleen", r"B(spleen|splen(ic|ocyte))"),
-    ("Thymus", r"B(thym(us|ic))"),
-    ("Lymph node", r"B(lymph node|lymphatic|tonsil|peyer)"),
-    ("Thyroid", r"B(thyroid)"),
-    ("Pituitary", r"B(pituitary|hypophys)"),
-    ("Breast / mammary", r"B(breast|mammary|mcf-?7|mda-mb)"),
-    ("Prostate", r"B(prostat(e|ic)|lncap)"),
-    ("Testis", r"B(test[ie]s|testicular|sperm|sertoli|leydig)"),
-    ("Ovary", r"B(ovar(y|ian)|oocyte|granulosa|follicular fluid)"),
-    ("Uterus", r"B(uter(us|ine)|(endo|myo)metri|fallopian|oviduct)"),
-    ("Placenta", r"B(placenta|trophoblast|chorion|decidua|amnion)"),
-    ("Embryo / stem cell", r"B(embryo|blastocyst|ipsc|ips cell|ips\b|induced pluripotent|pluripotent|esc\b|es cell|germ layer|gastrul|organoid|stem cell|zygote|morula|pronucle|blastomere|icm\b|fo?etal)"),
-    ("Adipose", r"B(adipo(se|cyte)|fat pad|fat\b|omental|(subcutaneous|visceral) fat|3t3-l1)"),
-    ("Bone / cartilage", r"B(bone|osteo(blast|clast|cyte)|cartilage|chondrocyte|mandible|femur|femoral bone|calvaria|vertebra|skeletal tissue)"),
-    ("Vasculature", r"B(endothelial|huvec|umbilical vein|aort(a|ic)|arter(y|ial)|vein\b|venous|vascula(r|ture)|pericyte)"),
-    ("Eye", r"B(retina|eye\b|cornea|lens\b|choroid|photoreceptor|optic)|~rpe\b"),
-    ("Bladder", r"B(bladder|urothel|urinary)"),
-    ("Salivary gland", r"B(salivary|parotid|submandibular gland)"),
-    ("Tumor / cancer", r"B(tumou?r|cancer|malignan|metasta|neoplas|xenograft|pdx\b)|~(carcinoma|sarcoma|melanoma|lymphoma|leuka?emia|myeloma|glioma|blastoma|cytoma)"),
-    ("Reference RNA", r"B(universal human reference|uhrr\b|hbrr\b|reference rna|ermcc\b|spike-in control|seqc\b|maqc\b)"),
-    ("Cell line", r"B(cell[ -]line|hela|u2os\b|sh-sy5y\b|cos-7\b|immortali[zs]ed|cho\b|293|hek\b|hct116\b|ntera\b)"),
-    ("Cultured cells", r"B(cells?\b|primary culture|culture\b|fibroblast|passage)"),
+
+class Rule(NamedTuple):
+    """A bucket and its stems, each list parted by ``, ``."""
+
+    bucket: str
+    starts: str = ""  # a word begins so
+    words: str = ""  # whole words
+    inside: str = ""  # anywhere, also inside a word
+    ends: str = ""  # a word ends so
+
+
+# The tissue vocabulary, in the order in which it is tried.
+TISSUE_RULES: list[Rule] = [
+    Rule("Bone marrow", "bone marrow, marrow, haematopoietic, hematopoietic, hspc, cd34+"),
+    Rule(
+        "Blood / immune",
+        "blood, pbmc, buffy coat, serum, plasma, leukocyte, leucocyte, lymphocyte, monocyte, macrophage, neutrophil, granulocyte, eosinophil, basophil, erythrocyte, erythroid, platelet, "
+        "megakaryocyte, dendritic cell, nk cell, natural killer, t cell, t-cell, b cell, b-cell, cd4, cd8, treg, thymocyte, myeloid, lymphoid, lymphoblastoid, gm12878, gm18, jurkat, k562, hl-60, thp-1",
+        words="lcl",
+    ),
+    Rule("Adrenal gland", "adrenal cortex, adrenal medulla"),
+    Rule("Kidney", "renal cortex, renal medulla, kidney cortex"),
+    Rule(
+        "Brain / CNS",
+        "brain, cerebell, cerebrum, cerebral, cortex, hippocamp, hypothalam, thalamus, striatum, midbrain, forebrain, hindbrain, amygdala, substantia nigra, neuron, neural, glia, astrocyte, "
+        "oligodendrocyte, microglia, olfactory bulb, prefrontal, frontal lobe, temporal lobe, occipital, putamen",
+    ),
+    Rule("Nerve / spinal cord", "spinal cord, sciatic, dorsal root, drg, peripheral nerve, schwann"),
+    Rule("Liver", "liver, hepatic, hepato, hepg2"),
+    Rule("Lung", "lung, pulmonary, alveol, bronch, airway, a549, respiratory epithel"),
+    Rule("Adrenal gland", "adrenal"),
+    Rule("Kidney", "kidney, renal, nephron, podocyte, glomerul, hek293, hek 293"),
+    Rule("Heart", "heart, cardiac, cardiomyocyte, myocardi, ventricle, ventricular, atrium, atrial, aortic valve"),
+    Rule("Vasculature", "smooth muscle, vascular smooth"),
+    Rule("Skeletal muscle", "skeletal muscle, muscle, soleus, gastrocnemius, quadriceps, tibialis, extensor digitorum, myotube, myoblast, myofib, sarcopenia, c2c12"),
+    Rule("Skin", "skin, epiderm, dermis, dermal, keratinocyte, melanocyte, hair follicle, sebaceous"),
+    Rule("Intestine", "intestin, colon, colorectal, ileum, ileal, jejunum, duodenum, rectum, rectal, cecum, caecum, bowel, gut, enteric, caco-2, crypt"),
+    Rule("Stomach", "stomach, gastric, antrum, pylor"),
+    Rule("Esophagus", "esophag, oesophag"),
+    Rule("Pancreas", "pancrea, islet, beta cell, acinar"),
+    Rule("Spleen", "spleen, splenic, splenocyte"),
+    Rule("Thymus", "thymus, thymic"),
+    Rule("Lymph node", "lymph node, lymphatic, tonsil, peyer"),
+    Rule("Thyroid", "thyroid"),
+    Rule("Pituitary", "pituitary, hypophys"),
+    Rule("Breast / mammary", "breast, mammary, mcf-7, mcf7, mda-mb"),
+    Rule("Prostate", "prostate, prostatic, lncap"),
+    Rule("Testis", "testis, testes, testicular, sperm, sertoli, leydig"),
+    Rule("Ovary", "ovary, ovarian, oocyte, granulosa, follicular fluid"),
+    Rule("Uterus", "uterus, uterine, endometri, myometri, fallopian, oviduct"),
+    Rule("Placenta", "placenta, trophoblast, chorion, decidua, amnion"),
+    Rule(
+        "Embryo / stem cell",
+        "embryo, blastocyst, ipsc, ips cell, induced pluripotent, pluripotent, es cell, germ layer, gastrul, organoid, stem cell, zygote, morula, pronucle, blastomere, fetal, foetal",
+        words="ips, esc, icm",
+    ),
+    Rule("Adipose", "adipose, adipocyte, fat pad, omental, subcutaneous fat, visceral fat, 3t3-l1", words="fat"),
+    Rule("Bone / cartilage", "bone, osteoblast, osteoclast, osteocyte, cartilage, chondrocyte, mandible, femur, femoral bone, calvaria, vertebra, skeletal tissue"),
+    Rule("Vasculature", "endothelial, huvec, umbilical vein, aorta, aortic, artery, arterial, venous, vascular, vasculature, pericyte", words="vein"),
+    Rule("Eye", "retina, cornea, choroid, photoreceptor, optic", words="eye, lens", ends="rpe"),
+    Rule("Bladder", "bladder, urothel, urinary"),
+    Rule("Salivary gland", "salivary, parotid, submandibular gland"),
+    Rule("Tumor / cancer", "tumor, tumour, cancer, malignan, metasta, neoplas, xenograft", words="pdx", inside="carcinoma, sarcoma, melanoma, lymphoma, leukemia, leukaemia, myeloma, glioma, blastoma, cytoma"),
+    Rule("Reference RNA", "universal human reference, reference rna, spike-in control", words="uhrr, hbrr, ermcc, seqc, maqc"),
+    Rule("Cell line", "cell line, cell-line, hela, immortalized, immortalised, 293", words="u2os, sh-sy5y, cos-7, cho, hek, hct116, ntera"),
+    Rule("Cultured cells", "primary culture, fibroblast, passage", words="cells, cell, culture"),
 ]
 PLACEHOLDERS = ("", "na", "n/a", "none", "null", "nan", "unknown", "not specified", "not applicable", "not available", "-", "--", "?")  # fixed values
 WEAK = {"Cell line": 3, "Reference RNA": 3, "Cultured cells": 2, OTHER: 1, UNKNOWN: 0}  # fixed values
 
 
-def expression(rule: str) -> str:
-    return rule.replace("B(", r"\b(").replace("~", "")
+def expression(rule: Rule) -> str:
+    """One regular expression that both engines read alike."""
+    parts = []
+    for stems, before, after in ((rule.starts, r"\b", ""), (rule.words, r"\b", r"\b"), (rule.inside, "", ""), (rule.ends, "", r"\b")):
+        if stems:
+            parts.append(before + "(" + "|".join(re.sub(r"([+.?*])", r"\\\1", s) for s in stems.split(", ")) + ")" + after)
+    return "|".join(parts)
 
 
 def normalised(c: Column) -> Column:
@@ -73,13 +101,13 @@ def normalised(c: Column) -> Column:
     return F.when(low.isin(*PLACEHOLDERS), "").otherwise(spaced)
 
 
-def canonical(c: Column, rules: Sequence[tuple[str, str]] = TISSUE_RULES) -> Column:
+def canonical(c: Column, rules: Sequence[Rule] = TISSUE_RULES) -> Column:
     """Bucket of a text: Unknown for null, blank and placeholders, Other where no rule matches."""
 
     def chain(s: Column) -> Column:
         out = F.when(s == "", UNKNOWN)
-        for bucket, rule in rules:
-            out = out.when(s.rlike(expression(rule)), bucket)
+        for rule in rules:
+            out = out.when(s.rlike(expression(rule)), rule.bucket)
         return out.otherwise(OTHER)
 
     # As the variable of a one-element transform the normalised text is made once, not once a rule.
@@ -101,6 +129,6 @@ def sql_normalised(c: str) -> str:
     return f"case when {low} in ({names}) then '' else regexp_replace(replace(replace({low}, '_', ' '), '/', ' / '), '\\s+', ' ', 'g') end"
 
 
-def sql_canonical(c: str, rules: Sequence[tuple[str, str]] = TISSUE_RULES) -> str:
+def sql_canonical(c: str, rules: Sequence[Rule] = TISSUE_RULES) -> str:
     """The same CASE for the SQL check; ``c`` is a column that is already normalised."""
-    return f"case when {c} = '' then 'Unknown' " + " ".join(f"when regexp_matches({c}, '{expression(r)}') then '{b}'" for b, r in rules) + " else 'Other' end"
+    return f"case when {c} = '' then 'Unknown' " + " ".join(f"when regexp_matches({c}, '{expression(r)}') then '{r.bucket}'" for r in rules) + " else 'Other' end"
