@@ -1,274 +1,254 @@
 """Personal information in free text: a skip-chain conditional random field.
 
-Candidates of fixed form (addresses, numbers, e-mails) become one token each;
-words stay single.  A linear-chain field over the whole text labels every
-token; tokens of one document that repeat each other share a
-potential, and messages pass along chains and these skips in turn until the
-labels of a document agree.  The field is trained here, on labelled sentences
-made by :mod:`strandloom.llm.pii_training`.
+Every token of every text (see :mod:`strandloom.llm.pii_tokens`) gets a label; a
+form is a feature and excludes no label.  Neighbours share potentials along the
+chain, and each word shares one with the same word before it in the text,
+however far away.  Loopy messages pass along chains and skips in turn.  All
+potentials, those of the skips included, are learned together by
+:mod:`strandloom.llm.pii_training`.
+
+A token whose own score favours "nothing" by more than all potentials around it
+could ever change is settled beforehand; that bound is exact, so chains fall
+apart into short runs without any change of the most probable labels.
 """
 from __future__ import annotations
 
-import re
-import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.pii_tokens import CLASSES, VOCABULARY, Tokens, tokenize
 from strandloom.session import spread
 
 LABELS = ("O", "name", "email", "phone", "idnum", "address")
 KIND = {k: i for i, k in enumerate(LABELS)}
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in LABELS[1:]}
-BITS = 17
-SKIP = 1.3  # share of the surest other mention's log-odds that reaches a mention
+#: kinds of skips: words no vocabulary has in lower case, other words, numbers
+SKIPS = 3
 ROUNDS = 2
-STRETCH = 60  # tokens that are labelled at a time
-LEAD = 8  # and as many more on both sides, to be seen by them
-
-# ---- candidates --------------------------------------------------------------
-
-_DOT = r"(?:\.|[ ]?[(\[{]dot[)\]}][ ]?|[ ]dot[ ])"
-_AT = r"(?:[ ]?@[ ]?|[ ]?[(\[{<]at[)\]}>][ ]?|[ ]at[ ])"
-_EMAIL = rf"(?<![\w.+-])[a-z0-9](?:[\w+-]|\.(?=[\w+-]))*{_AT}[a-z0-9][a-z0-9-]*(?:{_DOT}[a-z0-9][a-z0-9-]*)*{_DOT}[a-z]{{2,}}(?![\w])"
-# Words that end or begin the name of a street.
-STREET = "street st road rd avenue ave lane ln drive court ct close mews boulevard blvd terrace way crescent square grove hill walk row gardens parade".split()
-STRASSE = "straße strasse str weg allee ring gasse platz damm ufer steig".split()
-RUE = "rue quai place avenue boulevard chemin allée allee impasse cours route passage".split()
-_W = r"[^\W\d_][^\W\d_'’-]*"
-_ADDRESS = (
-    rf"\d{{1,4}}(?:[ ]?(?:bis|ter|[a-d]))?,?[ ](?:{'|'.join(RUE)})[ ](?:de[ ]la[ ]|du[ ]|des[ ]|de[ ]l['’]|de[ ]|d['’])?(?:(?:vieux|vieille|grande?|petite?|sainte?|beau|belle|haute?)[ ])?{_W}(?:[ ](?-i:[A-ZÀ-Þ]){_W})?"
-    rf"|\d{{1,4}}[ ]?[a-z]?(?<=[\da-z])[ ](?:(?:old|north|south|east|west|new|upper|lower|[nsew]\.)[ ])?{_W}(?:[ ]{_W})?[ ](?:rd\.|(?:{'|'.join(STREET)})\b)"
-    rf"|(?:{_W}(?:{'|'.join(STRASSE)})|{_W}[ ](?:{'|'.join(STRASSE)}))(?:\b|(?<=str))\.?[ ]\d{{1,4}}(?:[ ]?[a-z](?![\w]))?"
-)
-_PHONE = (
-    r"(?:\+|(?<!\d)00)33[ ]\d(?:[ ]\d\d){4}|\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|(?:\+|(?<!\d)00)44[ ](?:\(0\))?\d{2,4}[ ]\d{3,4}[ ]\d{3,4}"
-    r"|(?:\+|(?<!\d)00)49[ ](?:\(0\)[ ]?)?\d{2,4}[ /]\d{3,8}(?:[ -]\d{1,4})?|\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,5}|\+\d{8,14}"
-    r"|(?:1[ .-])?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}|0\d(?:[ .-]\d\d){4}|0\d{2}[ ]\d{4}[ ]\d{4}|0\d{3,4}[ ]\d{6}|0\d{2,4}[/-]\d{3,8}(?:-\d{1,4})?"
-)
-_IDNUM = (
-    r"\d{3}-\d\d-\d{4}|\d{3}[ ]\d\d[ ]\d{4}|\d{9}|\d{6}-\d{4}|[a-z]{2}[ ]\d\d[ ]\d\d[ ]\d\d[ ][a-z]|[a-z]{2}\d{6}[a-z]|[a-z]{1,2}\d{7,9}|[a-z]{2}-\d{5,9}-[a-z]"
-)
-_FIXED = (
-    rf"(?P<email>{_EMAIL})|(?<![\w.+/:-])(?P<address>{_ADDRESS})|(?<![\w.+/:-])(?P<phone>{_PHONE})(?![\w/-]|\.\d)|(?<![\w.+/:-])(?P<idnum>{_IDNUM})(?![\w/-]|\.\d)"
-)
-_TOKEN = re.compile(
-    _FIXED + r"|(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+)*)(?![\d_])|(?P<mixed>[\w]+)|(?P<line>\n+)|(?P<sign>[^\w\s])",
-    re.I,
-)
-_STREET_WORDS = frozenset(STREET + STRASSE + RUE)
-_known: set[str] = set()
-
-
-def known_words() -> set[str]:
-    """Words of the training sentences' fixed parts.  Some are surnames too, so membership is only a feature."""
-    if not _known:
-        from strandloom.llm import pii_training as made
-
-        for part in (made.CONTEXTS, made.PLAIN, made.TISSUES, made.EXPOSURES, made.UNITS, made.ID_LABELS):
-            _known.update(re.findall(r"[^\W\d_]+", re.sub(r"\{\w\d?\}", " ", part if isinstance(part, str) else " ".join(part)).lower()))
-    return _known
-
-
-def tokens(text: str, a: int, b: int) -> list[tuple[int, int, str]]:
-    """(start, end, type) of a window's tokens."""
-    out, known = [], known_words()
-    while m := _TOKEN.search(text, a, b):
-        start, a, kind = m.start(), m.end(), m.lastgroup
-        if kind == "address" and text[a - 1].isalpha():
-            # a known word at its end, with a capital, begins the next sentence
-            last = max(text.rfind(" ", start, a), start)
-            if text[last + 1: a].lower() in known and text[last + 1: a].lower() not in _STREET_WORDS and text[last + 1].isupper() and not text[start:a].isupper():
-                a = last
-        out.append((start, a, kind))
-    return out
-
-
-# ---- features -----------------------------------------------------------------
-
-_cache: dict[str, int] = {}
-MASK = {"email": [0, 2], "address": [0, 5], "phone": [0, 3, 4], "idnum": [0, 3, 4], "word": [0, 1], "sign": [0, 1], "mixed": [0], "line": [0, 1]}
-ALLOWED = {t: np.array([0.0 if i in m else -1e4 for i in range(len(LABELS))], np.float32) for t, m in MASK.items()}
-FEATURES = 20
-
-
-def _fid(f: str) -> int:
-    v = _cache.get(f)
-    if v is None:
-        if len(_cache) > 400_000:
-            _cache.clear()
-        v = _cache[f] = zlib.crc32(f.encode()) & (1 << BITS) - 1
-    return v
-
-
-def _form(w: str, kind: str) -> str:
-    if kind == "word":
-        if len(w) == 1:
-            return "I" if w.isupper() else "i"
-        if "-" in w:
-            return "".join("X" if p[:1].isupper() else "x" for p in w.split("-"))
-        return "XX" if w.isupper() else "Xx" if w[0].isupper() else "xX" if not w.islower() else "xx"
-    if kind in ("sign", "line"):
-        return w[:1]
-    return kind + ":" + re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", lambda m: str(len(m.group())), w))[:24]
-
-
-def features(text: str, toks: list[tuple[int, int, str]], unlisted: set[str] | frozenset[str] = frozenset()) -> list[list[int]]:
-    """FEATURES feature numbers per token: itself and its neighbours, by word, by form and by being a known word; ``unlisted`` words count as not known."""
-    low, form, known = ["<", "<", "<"], ["<", "<", "<"], known_words()
-    for a, b, kind in toks:
-        w = text[a:b]
-        low.append(w.lower() if kind in ("word", "sign", "line") else kind)
-        form.append(_form(w, kind))
-    low += [">", ">", ">"]
-    form += [">", ">", ">"]
-    listed = ["1" if x in known and x not in unlisted else "0" for x in low]
-    out = []
-    for i in range(3, len(low) - 3):
-        w, p, q, n, m, f = low[i], low[i - 1], low[i - 2], low[i + 1], low[i + 2], form[i]
-        k = listed[i] + f
-        out.append([_fid(x) for x in (
-            "f" + f, "w" + w, "p" + p, "q" + q, "n" + n, "m" + m, "P" + p + "|" + f, "N" + n + "|" + f, "pq" + q + "|" + p, "nm" + n + "|" + m,
-            "s" + w[-3:] + f, "F" + form[i - 1] + f, "G" + f + form[i + 1], "H" + form[i - 2] + form[i - 1] + f + form[i + 1], "r" + low[i - 3] + q, "t" + low[i + 2] + low[i + 3],
-            "K" + form[i - 1] + f + form[i + 1] + form[i + 2],
-            "k" + k, "j" + listed[i - 1] + form[i - 1] + k, "l" + k + listed[i + 1] + form[i + 1] + form[i + 2],
-        )])
-    return out
+#: log-odds beyond the bound at which a token is settled
+SETTLED = 3.0
+#: log-odds against the begin of a piece: running text holds far fewer pieces than training texts do
+SPARSE = 1.0
+#: characters of a batch, so that memory does not follow the length of the texts' sum
+BATCH = 400_000
 
 
-# ---- the field -----------------------------------------------------------------
+class Field(NamedTuple):
+    """Potentials: by feature, between neighbours, and by kind of skip."""
 
+    unary: np.ndarray  # (1 << BITS, labels)
+    pair: np.ndarray
+    skip: np.ndarray  # (SKIPS, labels, labels)
 
-class Field:
-    """Weights of a linear chain; sums over all label sequences in log space, many windows at a time."""
 
-    def __init__(self, unary: np.ndarray, pair: np.ndarray):
-        self.unary, self.pair = unary, pair
+def scores(field: Field, feats: np.ndarray) -> np.ndarray:
+    """Each token's own score of each label."""
+    out = np.zeros((feats.shape[1], len(LABELS)), np.float32)
+    one = np.empty_like(out)
+    for row in feats:
+        np.take(field.unary, row, axis=0, out=one, mode="clip")
+        out += one
+    return out
 
-    def scores(self, feats: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-        return self.unary[feats].sum(-2) + allowed
 
-    def marginals(self, u: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log marginals of nodes, log forward, log backward); padding comes last and adds nothing."""
-        b, t, k = u.shape
-        fore, back = np.empty_like(u), np.zeros_like(u)
-        fore[:, 0] = u[:, 0]
-        for i in range(1, t):
-            x = fore[:, i - 1, :, None] + self.pair
-            m = x.max(1, keepdims=True)
-            step = np.log(np.exp(x - m).sum(1)) + m[:, 0] + u[:, i]
-            fore[:, i] = np.where(real[:, i, None], step, fore[:, i - 1])
-        for i in range(t - 2, -1, -1):
-            x = self.pair + (u[:, i + 1] + back[:, i + 1])[:, None, :]
-            m = x.max(2, keepdims=True)
-            step = np.log(np.exp(x - m).sum(2)) + m[:, :, 0]
-            back[:, i] = np.where(real[:, i + 1, None], step, back[:, i + 1])
-        node = fore + back
-        node = node - node.max(2, keepdims=True)
-        node = node - np.log(np.exp(node).sum(2, keepdims=True))
-        return node, fore, back
+def skip_kind(t: Tokens, at: np.ndarray) -> np.ndarray:
+    return np.where(t.group[at] == 2, 2, (t.code[at] % np.uint64(4) != 0).astype(int))
+
+
+def chain(u: np.ndarray, pair: np.ndarray, open_start: np.ndarray, open_end: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(marginals, forward, backward, potentials) of runs (run, place, label), each between two tokens of label O where not open; padding comes last."""
+    e = np.exp(u - u.max(2, keepdims=True))
+    a = np.exp(pair - pair.max())
+    n, t, k = e.shape
+    fore, back = np.empty_like(e), np.empty_like(e)
+    one = np.ones(k, e.dtype)
+    x = np.where(open_start[:, None], one, a[0]) * e[:, 0]
+    fore[:, 0] = x / x.sum(1, keepdims=True)
+    for i in range(1, t):
+        x = (fore[:, i - 1] @ a) * e[:, i]
+        fore[:, i] = x / x.sum(1, keepdims=True)
+    stop = np.where(open_end[:, None], one, a[:, 0])
+    last = size - 1
+    back[:, t - 1] = stop
+    for i in range(t - 2, -1, -1):
+        x = (back[:, i + 1] * e[:, i + 1]) @ a.T
+        x /= x.sum(1, keepdims=True)
+        back[:, i] = np.where((i >= last)[:, None], stop, x)
+    node = fore * back
+    return node / node.sum(2, keepdims=True), fore, back, e
+
+
+def messages(belief: np.ndarray, left: np.ndarray, right: np.ndarray, table: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """New log messages over skips from ``left`` to ``right`` tokens and back, from beliefs without what the other end said before."""
+    out = np.clip(belief[left] * np.exp(-behind), 1e-30, None)
+    back = np.clip(belief[right] * np.exp(-ahead), 1e-30, None)
+    a = np.einsum("nk,nkl->nl", out / out.sum(1, keepdims=True), table)
+    b = np.einsum("nl,nkl->nk", back / back.sum(1, keepdims=True), table)
+    a, b = np.log(a), np.log(b)
+    return a - a[:, :1], b - b[:, :1]
+
+
+def label(field: Field, t: Tokens, use_skips: bool = True) -> np.ndarray:
+    """The most probable label of each token after loopy messages."""
+    m, k = len(t.start), len(LABELS)
+    lab = np.zeros(m, np.int8)
+    if not m:
+        return lab
+    start = field.pair.copy()
+    start[0, 1:] -= SPARSE
+    field = Field(field.unary, start, field.skip)
+    u = scores(field, t.feats)
+    # What the potentials around a token could add to a label over O, at most; less where a neighbour is settled.
+    into, on = (field.pair - field.pair[:, :1]).astype(np.float32), (field.pair - field.pair[:1]).T.astype(np.float32)
+    linked = np.zeros(m, bool)
+    right = np.flatnonzero(t.skip >= 0)
+    left = t.skip[right]
+    if use_skips:
+        linked[left] = linked[right] = True
+    told = ((field.skip - field.skip[:, :, :1]).max((0, 1)) + (field.skip - field.skip[:, :1]).max((0, 2))).astype(np.float32)
+    most = into.max(0) + on.max(0) + np.maximum(told, 0)
+    best = u[:, 1] + most[1]
+    for c in range(2, k):
+        np.maximum(best, u[:, c] + most[c], out=best)
+    open_ = ~t.bound & (best > u[:, 0] - SETTLED)
+    at = np.flatnonzero(open_)
+    over = u[at, 1:] - u[at, :1]
+    for _ in range(4):
+        gain = np.where(open_[at - 1, None], into.max(0), into[0]) + np.where(open_[at + 1, None], on.max(0), on[0]) + np.where(linked[at, None], np.maximum(told, 0), 0)
+        keep = (over + gain[:, 1:]).max(1) > -SETTLED
+        if keep.all():
+            break
+        open_[at[~keep]] = False
+        at, over = at[keep], over[keep]
+    if not len(at):
+        return lab
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+    size = np.diff(np.append(starts, len(at)))
+    packs = []
+    order = np.argsort(size, kind="stable")
+    a = 0
+    while a < len(order):
+        width = size[order[a]]
+        b = min(len(order), a + 4096, int(np.searchsorted(size[order], width * 1.3 + 2, side="right")))
+        rows = order[a:b]
+        a = b
+        longest = int(size[rows].max())
+        place = starts[rows][:, None] + np.arange(longest)[None, :]
+        real = np.arange(longest)[None, :] < size[rows][:, None]
+        packs.append((at[np.where(real, place, starts[rows][:, None])], real, size[rows]))
+    belief = np.zeros((m, k), np.float32)
+    belief[:, 0] = 1.0
+
+    def pass_chains(extra: np.ndarray | None, those: list) -> None:
+        for idx, real, sizes in those:
+            x = u[idx] if extra is None else u[idx] + extra[idx]
+            x = np.where(real[:, :, None], x, 0.0)
+            shut = np.zeros(len(idx), bool)
+            node = chain(x, field.pair.astype(np.float32), shut, shut, sizes)[0]
+            belief[idx[real]] = node[real]
+
+    pass_chains(None, packs)
+    useful = open_[left] | open_[right]
+    left, right = left[useful], right[useful]
+    if use_skips and len(left):
+        # only runs with a skip can change
+        some = [(idx[r], real[r], sizes[r]) for idx, real, sizes in packs if len(r := np.flatnonzero((linked[idx] & real).any(1)))]
+        table = np.exp(field.skip[skip_kind(t, right)]).astype(np.float32)
+        ahead, behind = np.zeros((len(left), k), np.float32), np.zeros((len(left), k), np.float32)
+        for _ in range(ROUNDS):
+            ahead, behind = messages(belief, left, right, table, ahead, behind)
+            extra = np.zeros((m, k), np.float32)
+            np.add.at(extra, right, ahead)
+            np.add.at(extra, left, behind)
+            pass_chains(extra, some)
+    lab[at] = belief[at].argmax(1)
+    return lab
+
+
+#: letters and digits that a piece of each kind must have at least
+LEAST = {"name": (2, 0), "email": (3, 0), "phone": (0, 6), "idnum": (0, 5), "address": (2, 1)}
+#: signs over which a piece of a kind reaches to the end of its unbroken run
+WITHIN = {"email": "._+-@", "phone": "-./+()", "idnum": "-"}
+AT = list(CLASSES).index("at") + 1
+
+
+def spans(field: Field, texts: list[str], vocabulary: str = VOCABULARY, use_skips: bool = True) -> list[list[tuple[int, int, str]]]:
+    """(start, end, kind) of the personal information in each text, from left to right."""
+    found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    if not texts:
+        return found
+    _, at, t = tokenize(texts, vocabulary)
+    lab = label(field, t, use_skips)
+    for a, b, d, k in pieces(t, lab):
+        found[d].append((int(a - at[d]), int(b - at[d]), LABELS[k]))
+    return found
 
 
-def decide(field: Field, docs: list[int], keys: list[list[str]], feats: list[list[list[int]]], kinds: list[list[str]]) -> list[np.ndarray]:
-    """Labels of all windows' tokens, after messages along chains and skips.
+def pieces(t: Tokens, lab: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(start, end, text, label) of runs of one label.
 
-    ``docs`` names each window's document and ``keys`` each token's word where
-    it may be shared ('' where not).
+    A piece never ends inside an unbroken run of signs of its kind, and has no
+    loose signs at its ends; e-mails hold an at-sign in some form, and numbers
+    enough digits.
     """
-    out: list[np.ndarray] = [np.zeros(0, int)] * len(docs)
-    order = sorted(range(len(docs)), key=lambda i: len(kinds[i]))
-    packs = []
-    for a in range(0, len(order), 256):
-        rows = [i for i in order[a: a + 256] if kinds[i]]
-        if not rows:
+    on = np.flatnonzero(lab)
+    if not len(on):
+        return []
+    lab = lab.copy()
+    group, start, end, sign = t.group, t.start, t.end, t.form - 24
+    mail = {ord(c) for c in WITHIN["email"]}
+    for i in np.flatnonzero((lab == KIND["email"]) & (group == 4) & (sign == 64)).tolist():
+        # an address runs as far as its signs do, whatever its parts look like by themselves
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(lab) and (end[j] == start[j + 1] if step < 0 else start[j] == end[j - 1]) and (group[j] < 3 or group[j] == 4 and int(sign[j]) in mail):
+                lab[j] = KIND["email"]
+                j += step
+    for i in np.flatnonzero((lab == KIND["email"]) & (t.code // np.uint64(16) == AT)).tolist():
+        # before a spelled at-sign stands the local part
+        j = i - 1
+        if j > 0 and lab[j] != KIND["email"] and group[j] < 3:
+            lab[j] = KIND["email"]
+            while end[j - 1] == start[j] and (group[j - 1] < 3 or group[j - 1] == 4 and int(sign[j - 1]) in mail):
+                j -= 1
+                lab[j] = KIND["email"]
+    on = np.flatnonzero(lab)
+    new = np.concatenate([[True], (np.diff(on) > 1) | (lab[on[1:]] != lab[on[:-1]])])
+    firsts, lasts = on[new], on[np.append(new[1:], True)] + 1
+    out, done = [], 0
+    for i, j in zip(firsts.tolist(), lasts.tolist()):
+        k = int(lab[i])
+        kind = LABELS[k]
+        if j <= done:
+            continue  # taken in by the piece before
+        within = {ord(c) for c in WITHIN.get(kind, "")}
+        if within:
+            while j < len(group) and start[j] == end[j - 1] and (group[j] < 3 or group[j] == 4 and int(sign[j]) in within):
+                j += 1
+            while i > done and end[i - 1] == start[i] and (group[i - 1] < 3 or group[i - 1] == 4 and int(sign[i - 1]) in within):
+                i -= 1
+        done = j
+        opening = (43, 40) if kind == "phone" else ()  # a phone number may begin with + or (
+        while i < j and group[i] > 2 and int(sign[i]) not in opening:
+            i += 1
+        # the dot of a shortened street belongs to it
+        dot = kind == "address" and j - i > 1 and sign[j - 1] == 46 and end[j - 2] == start[j - 1] and group[j - 2] == 1 and end[j - 2] - start[j - 2] < 5
+        while j > i and group[j - 1] > 2 and not dot:
+            j -= 1
+        size = end[i:j] - start[i:j]
+        if i == j or size[group[i:j] == 1].sum() < LEAST[kind][0] or size[group[i:j] == 2].sum() < LEAST[kind][1]:
             continue
-        t = max(len(kinds[i]) for i in rows)
-        f = np.zeros((len(rows), t, FEATURES), np.int32)
-        allow = np.zeros((len(rows), t, len(LABELS)), np.float32)
-        real = np.zeros((len(rows), t), bool)
-        for r, i in enumerate(rows):
-            n = len(kinds[i])
-            f[r, :n], real[r, :n] = feats[i], True
-            allow[r, :n] = [ALLOWED[k] for k in kinds[i]]
-        packs.append([rows, field.scores(f, allow), real, None])
-    shared: dict[tuple[int, str], list[tuple[int, int, int]]] = defaultdict(list)
-    for p, (rows, u, real, _) in enumerate(packs):
-        for r, i in enumerate(rows):
-            for j, key in enumerate(keys[i]):
-                if key:
-                    shared[docs[i], key].append((p, r, j))
-    skips = [v for v in shared.values() if len(v) > 1]
-    for turn in range(ROUNDS + 1):
-        for pack in packs:
-            pack[3] = field.marginals(pack[1] if len(pack) < 5 else pack[4], pack[2])[0]
-        if turn == ROUNDS or not skips:
-            break
-        for pack in packs:
-            pack[4:] = [pack[1].copy()]
-        for group in skips:
-            # what a mention believes by itself: its log-odds without what it was told
-            told = [packs[p][4][r, j, 1] - packs[p][1][r, j, 1] for p, r, j in group]
-            odds = np.clip([packs[p][3][r, j, 1] - packs[p][3][r, j, 0] for p, r, j in group], -8, 8) - told
-            # The surest other mention counts: a mention without context says little against it.
-            top = np.argsort(odds)[::-1][:2]
-            rest = np.full(len(group), odds[top[0]])
-            rest[top[0]] = odds[top[1]]
-            for (p, r, j), m in zip(group, SKIP * np.clip(rest, 0, 8)):
-                packs[p][4][r, j, 1] += m
-    for rows, _, _, node, *_ in packs:
-        best = node.argmax(2)
-        for r, i in enumerate(rows):
-            out[i] = best[r, : len(kinds[i])]
+        if kind == "email" and not ((sign[i:j] == 64) | (t.code[i:j] // np.uint64(16) == AT)).any():
+            continue
+        out.append((int(start[i]), int(end[j - 1]), int(t.doc[i]), k))
     return out
 
 
-def _share(w: str, kind: str) -> str:
-    return w.lower() if kind == "word" and len(w) > 3 and not w.islower() else ""
-
-
-def spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """(start, end, kind) of the personal information in each text, from left to right; every token of a text is labelled."""
-    docs, keys, feats, kinds, toks = [], [], [], [], []
-    for d, text in enumerate(texts):
-        t = tokens(text, 0, len(text))
-        for s in range(0, len(t), STRETCH):  # long texts are taken in overlapping stretches
-            lead = min(LEAD, s)
-            part = t[s - lead: s + STRETCH + LEAD]
-            docs.append(d), toks.append((part, lead, s + STRETCH < len(t)))
-            feats.append(features(text, part))
-            # a stretch's outermost tokens are only there to be seen by their neighbours
-            n = len(part)
-            first, last = (0 if s == 0 else 3), (n if s + STRETCH + LEAD >= len(t) else n - 3)
-            kinds.append([k if first <= x < last else "mixed" for x, (_, _, k) in enumerate(part)])
-            keys.append([_share(text[x:y], k) for x, y, k in part])
-    labels = decide(field, docs, keys, feats, kinds)
-    found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for d, (part, i, more_follows), lab in zip(docs, toks, labels):
-        text = texts[d]
-        stop = min(len(part), i + STRETCH) if more_follows else len(part)
-        while i < stop:
-            k = int(lab[i])
-            j = i + 1
-            if k == KIND["name"]:
-                while j < len(part) and lab[j] == k:
-                    j += 1
-                a, b = i, j
-                while a < b and part[a][2] != "word":
-                    a += 1
-                while b > a and part[b - 1][2] != "word":
-                    b -= 1
-                if a < b and any(part[x][1] - part[x][0] > 1 for x in range(a, b)):
-                    found[d].append((part[a][0], part[b - 1][1], "name"))
-            elif k:
-                found[d].append((part[i][0], part[i][1], LABELS[k]))
-            i = j
-    return [sorted(set(f)) for f in found]
-
-
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for a, b, k in found:
@@ -280,18 +260,20 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 
 # ---- over tables -----------------------------------------------------------------
 
-_fields: dict[int, Field] = {}
 
+def _run(field: Field, what: str, vocabulary: str):
+    on = np.flatnonzero(field.unary.any(1))
+    small, size_of, pair, skip = field.unary[on].astype(np.float16), field.unary.shape, field.pair, field.skip  # a table of every bucket would travel in vain
 
-def _run(weights: tuple[np.ndarray, np.ndarray], what: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = Field(weights[0].astype(np.float32), weights[1])
+        unary = np.zeros(size_of, np.float32)
+        unary[on] = small
+        own = Field(unary, pair, skip)
         for pdf in batches:
-            # batches of about a million characters, so that memory does not follow the length of the texts
-            size = np.cumsum(pdf["t"].str.len().to_numpy()) // 1_000_000
+            size = np.cumsum(pdf["t"].str.len().to_numpy()) // BATCH
             for _, part in pdf.groupby(size, sort=True):
                 texts = part["t"].tolist()
-                found = spans(field, texts)
+                found = spans(own, texts, vocabulary)
                 if what == "spans":
                     rows = [(i, k, t[a:b]) for i, t, f in zip(part["doc_id"], texts, found) for a, b, k in f]
                     yield pd.DataFrame(rows, columns=["doc_id", "kind", "found_text"])
@@ -305,11 +287,11 @@ def _source(df: DataFrame, ident: str, text: str) -> DataFrame:
     return spread(df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("t")).filter("doc_id is not null and t is not null"))
 
 
-def find(df: DataFrame, ident: str, text: str, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def find(df: DataFrame, ident: str, text: str, field: Field, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, kind, found_text of all personal information; null and empty texts give no rows, repeated pieces come once each time."""
-    return _source(df, ident, text).mapInPandas(_run(weights, "spans"), "doc_id long, kind string, found_text string")
+    return _source(df, ident, text).mapInPandas(_run(field, "spans", vocabulary), "doc_id long, kind string, found_text string")
 
 
-def redacted(df: DataFrame, ident: str, text: str, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def redacted(df: DataFrame, ident: str, text: str, field: Field, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, text, n_found: each text with a typed placeholder in place of each piece.  Null texts are left out, empty ones stay."""
-    return _source(df, ident, text).mapInPandas(_run(weights, "redacted"), "doc_id long, text string, n_found int")
+    return _source(df, ident, text).mapInPandas(_run(field, "redacted", vocabulary), "doc_id long, text string, n_found int")
