@@ -2,8 +2,9 @@
 
 A configuration says how many items of each length one container takes.  The
 covering program over all configurations is solved by multiplicative weights,
-each step pricing the best configuration by knapsack dynamic programming; its
-solution is rounded down, and what remains is filled greedily by length.  All of
+each step pricing the best configurations by knapsack dynamic programming, until
+every length is covered; the solution is rounded, and only what no use has room
+for is filled greedily by length.  All of
 this works on the histogram, whose size is bounded by the capacity; the items
 themselves are numbered and assigned where they are.
 """
@@ -25,9 +26,12 @@ CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: how the byte-level tokenizer splits a text before merging
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: texts are tokenized in stretches of about this many characters, cut where the tokenizer always splits
+#: texts are tokenized in stretches of this many characters or more, cut where the tokenizer always splits
 STRETCH = 100_000
-STEPS = 80
+#: least covered share of a length, decline of weights with it, gain of a use, configurations priced at once, and their perturbation
+SHORT, ETA, STEP, RUNS, SPREAD = 0.98, 2.0, 0.5, 96, 0.05
+#: lengths that a step prices
+PRICED = 256
 _held: dict[str, object] = {}
 
 
@@ -41,14 +45,15 @@ def tokenizer(vocabulary: str):
     return _held[vocabulary]
 
 
+_SPLIT = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+
+
 def stretches(text: str) -> Iterator[str]:
-    """Cut before a blank between two letters, where no token reaches across; only a stretch without any is cut at its length."""
+    """Cut before a blank between two letters, where no token reaches across; without such a place a stretch goes on."""
     at = 0
-    while len(text) - at > STRETCH:
-        m = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])").search(text, at + STRETCH // 2, at + STRETCH)
-        end = m.start() if m else at + STRETCH
-        yield text[at:end]
-        at = end
+    while len(text) - at > STRETCH and (m := _SPLIT.search(text, at + STRETCH)):
+        yield text[at: m.start()]
+        at = m.start()
     yield text[at:]
 
 
@@ -56,94 +61,149 @@ def token_count(text: str | None, enc) -> int:
     return 0 if not text else sum(len(enc.encode_ordinary(s)) for s in stretches(text))
 
 
-def best_configuration(price: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Items of each length in the container of highest total price (lengths ascending, any number of each)."""
-    value = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    top = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+def best_configurations(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """For each row of ``prices`` the items of each length in the container of highest total price (lengths ascending, any number of each; a price of 0 or less is never taken)."""
+    runs, m = prices.shape
+    p = np.ascontiguousarray(prices.T, np.float32)
+    value = np.zeros((capacity + 1, runs), np.float32)
+    room = np.empty((m, runs), np.float32)
+    top = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
-        value[c] = value[c - 1]
         k = top[c]
+        value[c] = value[c - 1]
         if k:
-            v = value[c - lengths[:k]] + price[:k]
-            j = int(v.argmax())
-            if v[j] > value[c]:
-                value[c], took[c] = v[j], j
-    out = np.zeros(len(lengths), np.int64)
-    c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            out[took[c]] += 1
-            c -= lengths[took[c]]
+            np.take(value, c - lengths[:k], axis=0, out=room[:k], mode="clip")
+            np.add(room[:k], p[:k], out=room[:k])
+            np.maximum(value[c], np.maximum.reduce(room[:k]), out=value[c])
+    out = np.zeros((runs, m), np.int64)
+    for r in range(runs):
+        v, c = value[:, r], capacity
+        while c > 0:
+            c = int(np.searchsorted(v, v[c] - 1e-6 * max(1.0, v[c])))  # the smallest capacity of this value
+            k = top[c]
+            if c <= 0 or not k:
+                break
+            gain = np.where(p[:k, r] > 0, v[c - lengths[:k]] + p[:k, r], -1.0)
+            j = int(gain.argmax())
+            if gain[j] < v[c] - 1e-5 * max(1.0, v[c]):
+                c -= 1
+                continue
+            out[r, j] += 1
+            c -= int(lengths[j])
     return out
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int = STEPS) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used, by multiplicative weights for covering programs."""
-    weight = np.ones(len(lengths))
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
+    """(configurations and how often each is used, share of each length that they cover), by multiplicative weights.
+
+    Every length is covered to SHORT or more, none beyond its count.  A length's
+    price is its size times exp(-ETA * covered share): of full containers the
+    least covered lengths are worth most.  Each step prices RUNS configurations
+    at once, under small perturbations of the weights (fixed seed), and uses each
+    until its tightest length has gained STEP of its count (less where there are few lengths).
+    """
+    counts = counts.astype(float)
+    rng = np.random.default_rng(5)
     cover = np.zeros(len(lengths))
+    # few lengths are covered in small steps, which cost little and keep their weights even
+    most = float(np.clip(len(lengths) / 2000, 0.02, STEP))
     used: dict[bytes, list] = {}
-    for _ in range(steps):
-        a = best_configuration(weight * lengths / counts / (weight * lengths / counts).max(), lengths, capacity)
-        some = a > 0
-        step = float((counts[some] / a[some]).min())
-        gain = np.where(some, a * step / counts, 0.0)
-        cover += gain
-        weight = weight * np.exp(-gain)
-        weight /= weight.max()
-        used.setdefault(a.tobytes(), [a, 0.0])[1] += step
-    # Scaled so that the typical covered length is used once over; lengths never reached stay for the rest.
-    scale = 1.0 / max(1.0, float(np.quantile(cover[cover > 0], 0.75)))
-    return [(a, x * scale) for a, x in used.values()]
-
-
-def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, program: list[tuple[np.ndarray, float]], least: float, spare: bool) -> list[tuple[np.ndarray, int]]:
-    """The program's configurations filled to ``least`` of the capacity or more, rounded down; then greedy fillings by falling length.
-
-    With ``spare`` one container takes at most half of what is left of a short length, which keeps short items for later gaps.
+    while (cover < SHORT).any():
+        open_ = np.flatnonzero(cover < 1 - 1e-9)
+        if len(open_) > PRICED:
+            # partial pricing: the least covered lengths and as many others
+            order = open_[np.argsort(cover[open_] + 1e-3 * rng.random(len(open_)))]
+            open_ = np.sort(np.concatenate([order[: PRICED // 2], rng.choice(order[PRICED // 2:], PRICED // 2, replace=False)]))
+        price = lengths[open_] * np.exp(-ETA * (cover[open_] - cover[open_].min())) * np.exp(SPREAD * rng.standard_normal((RUNS, len(open_))))
+        for part in best_configurations(price / price.max(), lengths[open_], capacity):
+            some = open_[part > 0]
+            if not len(some):
+                continue
+            many = part[part > 0]
+            step = float((np.minimum(most, 1 - cover[some]) * counts[some] / many).min())
+            if step <= 1e-12:
+                continue
+            cover[some] += many * step / counts[some]
+            a = np.zeros(len(lengths), np.int64)
+            a[some] = many
+            used.setdefault(a.tobytes(), [a, 0.0])[1] += step
+    return [(a, x) for a, x in used.values()], cover
+
+
+def _filled(a: np.ndarray, left: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """``a`` and what fits beside it of the items left, longest first."""
+    a = a.copy()
+    room = capacity - int(a @ lengths)
+    j = int(np.searchsorted(lengths, room, side="right")) - 1
+    while room > 0 and j >= 0:
+        n = int(min(left[j] - a[j], room // lengths[j]))
+        if n > 0:
+            a[j] += n
+            room -= n * int(lengths[j])
+        j = min(j - 1, int(np.searchsorted(lengths, room, side="right")) - 1)
+    return a
+
+
+def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, program: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, int, str]]:
+    """(configuration, containers, origin) that hold all items exactly.
+
+    The uses are rounded in turn, so that their running sum is never off by one
+    ('program').  A use whose items are partly gone keeps the rest of its
+    configuration and is filled up.  What no use has room for is filled by
+    falling length ('rest').
     """
     left = counts.astype(np.int64).copy()
-    out: list[tuple[np.ndarray, int]] = []
-    for a, x in program:
+    out: list[tuple[np.ndarray, int, str]] = []
+    partly: list[tuple[np.ndarray, int]] = []
+    total, given = 0.0, 0
+    for a, x in sorted(program, key=lambda p: -p[1]):
+        total += x
+        k = int(np.floor(total + 0.5)) - given
+        given += k
         some = a > 0
-        k = int(min(np.floor(x + 1e-9), (left[some] // a[some]).min()))
-        if k > 0 and a @ lengths >= least * capacity:
-            out.append((a, k))
-            left -= k * a
+        whole = int(min(k, (left[some] // a[some]).min()))
+        if whole:
+            out.append((a, whole, "program"))
+            left -= whole * a
+        if k > whole:
+            partly.append((a, k - whole))
+    # what is left of the most used length first, so that long items find their places
+    for a, k in partly:
+        while k > 0 and left.any():
+            b = _filled(np.minimum(a, left), left, lengths, capacity)
+            some = b > 0
+            n = int(min(k, (left[some] // b[some]).min()))
+            out.append((b, n, "program"))
+            left -= n * b
+            k -= n
+    # gaps that items left over still fit in
+    for i in range(len(out)):
+        if not left.any():
+            break
+        a, k, how = out[i]
+        b = _filled(a, left + a, lengths, capacity)
+        more = b - a
+        if more.any():
+            some = more > 0
+            n = int(min(k, (left[some] // more[some]).min()))
+            out[i] = (b, n, how)
+            if k > n:
+                out.append((a, k - n, how))
+            left -= n * more
     while left.any():
-        a = np.zeros(len(lengths), np.int64)
-        room = capacity
-        j = len(lengths) - 1
-        while room > 0 and j >= 0:
-            if left[j] > a[j] and lengths[j] <= room:
-                n = int(min(left[j] - a[j], room // lengths[j]))
-                n = n if not spare or lengths[j] * 4 > capacity else max(1, min(n, -(-(int(left[j]) - int(a[j])) // 2)))
-                a[j] += n
-                room -= n * int(lengths[j])
-            j = min(j - 1, int(np.searchsorted(lengths, room, side="right")) - 1)
+        a = _filled(np.zeros(len(lengths), np.int64), left, lengths, capacity)
         some = a > 0
         k = int((left[some] // a[some]).min())
-        out.append((a, k))
+        out.append((a, k, "rest"))
         left -= k * a
     return out
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """(configuration, containers) that hold all items exactly: of a few roundings of the program the one with fewest containers, or the first within half a percent of the volume bound."""
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int, str]]:
+    """(configuration, containers, origin) that hold all items exactly; no items need none."""
     if not len(lengths):
         return []
-    program = sorted(fractional(lengths, counts.astype(float), capacity), key=lambda p: -float(p[0] @ lengths) * p[1])
-    bound = -(-int(lengths @ counts) // capacity)
-    best: list[tuple[np.ndarray, int]] | None = None
-    for least, spare in ((1.0, True), (1.0, False), (0.9, False), (0.0, True), (0.0, False)):
-        now = rounded(lengths, counts, capacity, program, least, spare)
-        if best is None or sum(k for _, k in now) < sum(k for _, k in best):
-            best = now
-        if sum(k for _, k in best) <= 1.005 * bound:
-            break
-    return best
+    return rounded(lengths, counts, capacity, fractional(lengths, counts, capacity)[0])
 
 
 def pieces(df: DataFrame, ident: str, text: str, capacity: int, vocabulary: str) -> DataFrame:
@@ -187,10 +247,10 @@ def pack(df: DataFrame, ident: str, text: str, capacity: int = CAPACITY, vocabul
     lengths, counts = np.array([t for t, _ in histogram], np.int64), np.array([n for _, n in histogram], np.int64)
     chosen = plan(lengths, counts, capacity)
     # Per length: the item numbers at which each configuration's share begins, its first container, and its items per container.
-    # There are at most STEPS + capacity configurations of few lengths each, whatever the number of items.
+    # The number of configurations follows the number of lengths, whatever the number of items.
     ranges: dict[int, list[tuple[int, int, int]]] = {int(t): [] for t in lengths}
     given, base = np.zeros(len(lengths), np.int64), 0
-    for a, k in chosen:
+    for a, k, _ in chosen:
         for j in np.flatnonzero(a):
             ranges[int(lengths[j])].append((int(given[j]), base, int(a[j])))
         given += k * a

@@ -200,9 +200,9 @@ def test_topn_against_brute_force(spark):
 def test_plan_holds_all_items(histogram):
     lengths, counts = (np.array(x) for x in zip(*sorted(histogram)))
     made = packing.plan(lengths, counts, 64)
-    assert (sum(a * k for a, k in made) == counts).all()
-    assert all(a @ lengths <= 64 for a, _ in made)
-    used = sum(k for _, k in made)
+    assert (sum(a * k for a, k, _ in made) == counts).all()
+    assert all(a @ lengths <= 64 for a, _, _ in made)
+    used = sum(k for _, k, _ in made)
     big = int(counts[lengths > 32].sum())
     assert used <= max(big, -(-int(lengths @ counts) // 64)) * 1.5 + 1  # first-fit by falling length stays below 11/9 of the best
 
@@ -210,8 +210,30 @@ def test_plan_holds_all_items(histogram):
 def test_knapsack_against_enumeration():
     lengths, price = np.array([3, 5, 7]), np.array([2.0, 4.1, 5.0])
     best = max((sum(n * p for n, p in zip(c, price)) for c in itertools.product(range(8), repeat=3) if np.dot(c, lengths) <= 23))
-    a = packing.best_configuration(price, lengths, 23)
+    a, b = packing.best_configurations(np.array([price, price[::-1] * 0 + [0, 0, 1]]), lengths, 23)
     assert a @ lengths <= 23 and a @ price == pytest.approx(best)
+    assert b.tolist() == [0, 0, 3]
+
+
+def test_program_covers_every_length_and_gives_the_containers():
+    rng = np.random.default_rng(1)
+    lengths, counts = np.unique(np.minimum(600, (rng.pareto(1.2, 3000) * 30).astype(int) + 5), return_counts=True)
+    program, cover = packing.fractional(lengths, counts, 1000)
+    assert cover.min() >= packing.SHORT and cover.max() <= 1 + 1e-9
+    assert np.allclose(sum(a * x for a, x in program), cover * counts)
+    made = packing.plan(lengths, counts, 1000)
+    total = sum(k for _, k, _ in made)
+    assert sum(k for _, k, how in made if how == "program") >= 0.9 * total
+    assert total <= 1.01 * (lengths @ counts) / 1000 + 2
+
+
+@pytest.mark.parametrize("times", [1, 10, 1000])
+def test_program_beats_filling_by_length(times):
+    """Filling by falling length needs 11 containers where 9 do."""
+    lengths, counts = np.array([23, 26, 27, 51]), np.array([12, 6, 6, 6]) * times
+    greedy = sum(k for _, k, _ in packing.rounded(lengths, counts, 100, []))
+    program = sum(k for _, k, _ in packing.plan(lengths, counts, 100))
+    assert program < greedy and program <= 10 * times
 
 
 def test_packing_of_table(spark):
