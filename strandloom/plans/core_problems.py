@@ -76,8 +76,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     geo, meta = read(spark, d, "geo_records"), read(spark, d, "archs4_metadata")
     out = None
     for field, df, key, text, how in (("pubmed_ids_ncbi", geo, "gse", "pubmed_ids_ncbi", PUBMED), ("characteristics", meta, "global_index", "characteristics", TRAITS)):
-        s = seg.Segmenter(values=seg.learned_values(df, text, how["delimiters"]), **how)
-        part = seg.split_field(df, key, text, s).withColumn("field", F.lit(field)).select("field", "rec_key", "pos", "item")
+        part = seg.split_field(df, key, text, **how).withColumn("field", F.lit(field)).select("field", "rec_key", "pos", "item")
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 

@@ -121,11 +121,11 @@ TRAITS = dict(delimiters=";,|\t\n", glue=":=")
     ('5" pipe; b', ['5" pipe', "b"]), ('"open; b', ['"open', "b"]), ("age: pool of 3, equal parts; b", ["age: pool of 3, equal parts", "b"]), ("pool of 3, equal partsX", ["pool of 3", "equal partsX"]),
 ])
 def test_split(text, items):
-    assert seg.Segmenter(values=["pool of 3, equal parts"], **TRAITS).split(text) == items
+    assert seg.Segmenter(values=["pool of 3, equal parts"], unquoted=True, **TRAITS).split(text) == items
 
 
 def test_cover_prefers_the_longer_value():
-    s = seg.Segmenter(values=["a, b", "b, c, d"], **TRAITS)
+    s = seg.Segmenter(values=["a, b", "b, c, d"], unquoted=True, **TRAITS)
     assert s.split("a, b, c, d") == ["a", "b, c, d"]
 
 
@@ -137,14 +137,28 @@ def test_ids_with_labels():
 def test_split_field_of_table(spark):
     long = ";".join(f"k{i}: v" for i in range(20_000))
     df = spark.createDataFrame([(1, "a;b", "x"), (2, None, "x"), (3, " NA ", "x"), (4, long, "x"), (1, "a;b", "x")], "k long, t string, item string")
-    out = seg.split_field(df, "k", "t", seg.Segmenter(**TRAITS))
+    out = seg.split_field(df, "k", "t", **TRAITS)
     assert out.columns == ["rec_key", "pos", "item"]
     rows = out.collect()
     assert len(rows) == 4 + 20_000
     assert max(r.pos for r in rows) == 20_000
-    assert seg.split_field(df.limit(0), "k", "t", seg.Segmenter(**TRAITS)).count() == 0
+    assert seg.split_field(df.limit(0), "k", "t", **TRAITS).count() == 0
 
 
 def test_learned_values_come_from_quotes(spark):
     df = spark.createDataFrame([('a:"x, y";b',), ('"x, y"|c',), ('z: "q; r"',), ("plain, text",), (None,)], "t string")
-    assert seg.learned_values(df, "t", ";,|\t\n") == ["x, y"]
+    assert sorted(r.value for r in seg.learned_values(df, "t", ";,|\t\n", ":=").collect()) == ["q; r", "x, y"]  # however rare
+
+
+def test_known_values_decide_unclear_quotes(spark):
+    """The cover changes rows: inner quotes that were not doubled, and a stray quote before a value."""
+    sure = [(1, 'batch: "line ""B7""; old"; age: 3'), (2, 'note: "left, upper"'), (3, "age: 3; left, upper")]
+    odd = [(4, 'batch: "line "B7"; old"; age: 4'), (5, 'size: "; note: "left, upper"; x: "; y')]
+    split = lambda rows: sorted((r.rec_key, r.pos, r.item) for r in seg.split_field(spark.createDataFrame(rows, "k int, t string"), "k", "t", **TRAITS).collect())
+    got = {k: [i for key, _, i in split(sure + odd) if key == k] for k in "12345"}
+    assert got["1"] == ['batch: line "B7"; old', "age: 3"] and got["2"] == ["note: left, upper"]
+    assert got["3"] == ["age: 3", "left", "upper"]  # without quotes a known value is not protected
+    assert got["4"] == ['batch: line "B7"; old', "age: 4"]
+    alone = [i for key, _, i in split([r for r in odd if r[0] == 4])]
+    assert alone != got["4"] and len(alone) == 3
+    assert "note: left, upper" in got["5"]
