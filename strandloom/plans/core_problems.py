@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import orphans as orp
 from strandloom.operators import segment as seg
 from strandloom.operators import units
+from strandloom.session import cut
 from strandloom.tables import col, is_missing, read, squeeze
 
 DURATION = "study.parameter value.duration"
@@ -17,23 +18,28 @@ def _quantities(spark: SparkSession, d: str) -> DataFrame:
     return units.with_quantities(samples, "duration", "accession", read(spark, d, "osdr_studies"), "accession", "description")
 
 
+def _histories(spark: SparkSession, d: str) -> DataFrame:
+    """Every duration with the unit that its study's history gives it; written and stated units are fixed observations."""
+    seconds = F.create_map(*[F.lit(x) for kv in units.UNIT_SECONDS.items() for x in kv])
+    q = _quantities(spark, d).filter("q_num is not null").withColumn("number", F.col("q_num") / F.col("q_den"))
+    q = q.withColumn("hours", F.when(F.col("q_unit_from") == "text", F.col("number") * F.try_element_at(seconds, F.col("q_unit")) / 3600))
+    q = cut(q.select("row_id", "accession", "ingested_at", "q_num", "q_den", "q_unit", "number", "hours"), "quantities")  # read four times, parsed once
+    levels = units.source_levels(q, "accession", "hours")
+    overall = q.filter("hours > 0").agg(F.avg(F.log("hours"))).scalar()
+    told = q.join(levels, F.col("accession") == F.col("lv_source"), "left").select("row_id", "accession", "ingested_at", "q_num", "q_den", "q_unit", "number", F.coalesce("lv", overall, F.lit(6.0)).alias("level"))
+    return units.unit_history(told, "accession", ["ingested_at", "row_id"], "number", "level", fixed="q_unit")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    q = _quantities(spark, d).filter("q_seconds_num is not null and q_seconds_num % (q_seconds_den * 3600) = 0")
-    return q.select("row_id", F.expr("q_seconds_num div (q_seconds_den * 3600)").alias("hours")).distinct()
+    """Hours of the durations whose unit is written or stated, read from the histories: number times the unit there."""
+    seconds = F.create_map(*[F.lit(x) for kv in units.UNIT_SECONDS.items() for x in kv])
+    h = _histories(spark, d).filter("q_unit is not null").withColumn("s", F.col("q_num") * F.try_element_at(seconds, F.col("unit")))
+    return h.filter("s % (q_den * 3600) = 0").select("row_id", F.expr("s div (q_den * 3600)").alias("hours")).distinct()
 
 
 def p2_unit_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Unit of each run of bare numbers by the study's own history."""
-    q = _quantities(spark, d).withColumn("hours", F.col("q_seconds_num") / F.col("q_seconds_den") / 3600)
-    told = q.filter(F.col("q_unit_from") == "text")
-    levels = units.source_levels(told, "accession", "hours")
-    overall = told.filter("hours > 0").agg(F.avg(F.log("hours"))).scalar()
-    bare = (
-        q.filter("q_number > 0 and accession is not null").select("row_id", "accession", "ingested_at", F.col("q_number").alias("number"))
-        .join(levels, F.col("accession") == F.col("lv_source"), "left")
-        .select("row_id", "accession", "ingested_at", "number", F.coalesce("lv", overall, F.lit(6.0)).alias("level"))
-    )
-    return units.unit_changes(units.unit_history(bare, "accession", ["ingested_at", "row_id"], "number", "level"), "accession", ["ingested_at", "row_id"])
+    """Runs of one unit in each study's history of durations."""
+    return units.unit_changes(_histories(spark, d), "accession", ["ingested_at", "row_id"])
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -77,12 +77,27 @@ def test_history_is_exact_over_ranges(spark):
     assert all(got[k] == v for k, v in true.items())
     assert all(got["big", i] == ("day" if i < 300 else "hour") for i in range(600))
     c = units._costs(np.log([30.0, 31.0, 700.0, 29.0]), np.full(4, np.log(720)))
-    path = units._viterbi(c, 6.0, np.zeros(4), np.zeros(4))
+    path = units._viterbi(c, 6.0, np.zeros(len(units.STATES)), np.zeros(len(units.STATES)))
     cost = sum(c[i, s] for i, s in enumerate(path)) + 6.0 * sum(a != b for a, b in zip(path, path[1:]))
     assert cost == pytest.approx(_brute(np.log([30.0, 31.0, 700.0, 29.0]), np.full(4, np.log(720)), 6.0))
     assert units.unit_history(df.limit(0), "src", ["pos"], "x", "lv").count() == 0
 
 
+def test_told_units_are_fixed_and_runs_are_whole(spark):
+    """Written units stand whatever the level says, bare numbers follow their history, and a run over several ranges is one."""
+    lv = float(np.log(720))
+    rows = [("a", i, 30.0, lv, "day" if i % 7 == 0 else None) for i in range(200)] + [("a", 200 + i, 720.0, lv, None) for i in range(200)]
+    rows += [("b", 0, 5.0, lv, "minute"), ("b", 1, 0.0, lv, "week"), ("b", 2, 0.0, lv, None), (None, 0, 3.0, lv, "month")]
+    df = spark.createDataFrame(rows, "src string, pos int, x double, lv double, told string")
+    h = units.unit_history(df, "src", ["pos"], "x", "lv", fixed="told")
+    got = {(r.src, r.pos): r.unit for r in h.collect()}
+    assert len(got) == len(rows) - 1 and ("b", 2) not in got
+    assert all(got[k[0], k[1]] == k[4] for k in rows if k[4])
+    assert {u for (s, i), u in got.items() if s == "a"} == {"day", "hour"} and got["a", 199] == "day" and got["a", 200] == "hour"
+    runs = sorted(tuple(r) for r in units.unit_changes(h, "src", ["pos"]).collect())
+    assert runs == [("a", 0, "day", 24.0, 0, 199, 200), ("a", 1, "hour", 1.0, 200, 399, 200), ("b", 0, "minute", 1 / 60, 0, 0, 1), ("b", 1, "week", 168.0, 1, 1, 1)]
+
+
 REFS = "id long, f string, at timestamp"
 PARENTS = "f string, a timestamp, d timestamp"
 
