@@ -4,6 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: genes that one list may hold
+MOST_GENES = 200_000
+
 
 def unpivot(wide: DataFrame, ids: list[str], samples: list[str]) -> DataFrame:
     """One row per id and sample column; null counts are left out."""
@@ -26,9 +29,13 @@ def collapse(counts: DataFrame) -> DataFrame:
 def align(collapsed: DataFrame, genes: DataFrame) -> DataFrame:
     """Every listed gene for every sample, 0 where it was not counted; genes off the list are dropped.
 
-    The list repeats inside each sample by ``explode`` of one array (its length
-    is the length of the list, whatever the number of samples).
+    The list repeats inside each sample by ``explode`` of one array.  It is a
+    fixed vocabulary, so MOST_GENES bounds it, whatever the number of samples; a
+    longer one raises.
     """
+    n = genes.select("symbol").distinct().count()
+    if n > MOST_GENES:
+        raise ValueError(f"{n} genes; a list holds at most {MOST_GENES}")
     listed = genes.select("symbol").distinct().agg(F.sort_array(F.collect_list("symbol"))).scalar()
     grid = collapsed.select("sample").distinct().select("sample", F.explode(listed).alias("symbol"))
     return grid.join(collapsed, ["sample", "symbol"], "left").select("sample", "symbol", F.coalesce("count", F.lit(0.0)).alias("count"))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.skew import skew_join
-from strandloom.session import cut
+from strandloom.session import cut, drop_cut
 
 
 def _least(sym: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     e = cut(edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct(), "cc")
     seen = None
     for _ in range(limit):
-        e = cut(_small_star(_large_star(e)).filter("u <> v").distinct(), "cc")
+        before, e = e, cut(_small_star(_large_star(e)).filter("u <> v").distinct(), "cc")
+        drop_cut(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == seen:
             break

@@ -1,7 +1,10 @@
 """Neighbour graphs and their layouts.
 
 Edge weights and affinities are made over tables; the layouts themselves run on
-the driver in numpy and refuse more than CAP points, as their cost is not linear.
+the driver in numpy and take at most CAP points, as their cost is not linear.  A
+larger table is laid out by landmarks: a stated sample of CAP points gets its
+layout, and every other point is placed among its nearest landmarks, in one pass
+over the table.
 """
 from __future__ import annotations
 
@@ -64,6 +67,49 @@ def edge_arrays(edges: DataFrame, weight: str) -> tuple[np.ndarray, np.ndarray,
     return ids, np.searchsorted(ids, t["qid"]), np.searchsorted(ids, t["id"]), t[weight].to_numpy()
 
 
+def landmarks(df: DataFrame, ident: str, count: int, seed: int = 42) -> DataFrame:
+    """At most ``count`` rows, drawn by a digest of seed and id; a smaller table is taken whole."""
+    from strandloom.operators.sampling import uniform
+
+    return uniform(df, ident, count, seed)
+
+
+def place(df: DataFrame, ident: str, vec: str, dim: int, ids: np.ndarray, vectors: np.ndarray, y: np.ndarray, k: int = 15) -> DataFrame:
+    """ident and x, y[, z] of every row: a landmark's own place, else the mean of its ``k`` nearest landmarks by weight.
+
+    Weights fall off exponentially with cosine distance, beyond the nearest one.
+    The landmarks (CAP at most) travel to the tasks; the rows stay where they
+    are.  Rows without a usable vector are left out.
+    """
+    import pyarrow as pa
+
+    from strandloom.operators.knn import _unit, matrix
+    from strandloom.session import spread
+
+    u, at = _unit(np.asarray(vectors, float)), {int(i): n for n, i in enumerate(ids)}
+    names = "xyz"[: y.shape[1]]
+    k = min(k, len(ids))
+
+    def run(batches):
+        for b in batches:
+            keep, m = matrix(b.column(1), dim)
+            if not len(keep):
+                continue
+            own = b.column(0).take(pa.array(keep)).to_numpy()
+            s = _unit(m) @ u.T
+            near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            d = 1 - np.take_along_axis(s, near, 1)
+            w = np.exp(-(d - d.min(1, keepdims=True)) / np.maximum(d.mean(1, keepdims=True) - d.min(1, keepdims=True), 1e-9))
+            out = (w[:, :, None] * y[near]).sum(1) / w.sum(1, keepdims=True)
+            for r, i in enumerate(own.tolist()):
+                if i in at:
+                    out[r] = y[at[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(own), *[pa.array(out[:, c]) for c in range(out.shape[1])]], names=[ident, *names])
+
+    rows = spread(df.select(F.col(ident).cast("long").alias(ident), F.col(vec).alias("v")).filter(f"`{ident}` is not null and v is not null"))
+    return rows.mapInArrow(run, f"`{ident}` long, " + ", ".join(f"{c} double" for c in names))
+
+
 def spectral(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, dims: int) -> np.ndarray:
     """Leading eigenvectors of the normalised graph without the trivial one, scaled to 10; orthogonal iteration over the edges, so nothing n x n is made."""
     deg = np.maximum(np.bincount(i, w, n), 1e-12)
@@ -78,6 +124,14 @@ def spectral(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, dims: int) ->
     return out * (10 / np.abs(out).max()) * np.sign(out[np.abs(out).argmax(0), range(dims)])
 
 
+def init_from_pca(xy: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Start of a layout: components scaled so that the largest entry is 10, with a small jitter that parts equal points."""
+    top = np.abs(xy).max()
+    if not np.isfinite(top) or top == 0:
+        raise ValueError("components without spread are no start")
+    return xy * (10 / top) + np.random.default_rng(seed).normal(0, 1e-4, xy.shape)
+
+
 def umap(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, dims: int = 2, epochs: int = 200, negatives: int = 5, seed: int = 42) -> np.ndarray:
     """Attraction along edges and repulsion of random points (curve for a minimal distance of 0.1)."""
     a, b = 1.577, 0.895

@@ -1,9 +1,11 @@
 """Deterministic samples: the order is a digest of seed and id, the same in every engine."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.positions import group_positions
+
 
 def ticket(seed: int, ident: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string")))
@@ -23,7 +25,6 @@ def stratified(df: DataFrame, ident: str, label: str, n: int, seed: int) -> Data
     pool = df.agg(F.count(F.lit(1))).scalar()
     take = F.when(pool <= n, F.col("_size")).otherwise(F.least(F.greatest(F.lit(1), F.bround(F.col("_size") * n / pool).cast("long")), F.col("_size")))
     quota = sizes.select(F.col(label).alias("_label"), take.alias("_take"))
-    w = Window.partitionBy(label).orderBy("_t", ident)
-    # Positions within the class by ticket, then the class's own quota (a small pool keeps all of its rows).
-    ranked = df.withColumn("_t", ticket(seed, ident)).withColumn("_r", F.row_number().over(w))
+    # Positions within the class by ticket, from sorted ranges, so that no class is sorted in one task; then the class's own quota.
+    ranked = group_positions(df.withColumn("_t", ticket(seed, ident)), [label], [F.col("_t"), F.col(ident)], "_r")
     return ranked.join(quota, F.col(label).eqNullSafe(F.col("_label"))).filter(F.col("_r") <= F.col("_take")).drop("_t", "_r", "_label", "_take")

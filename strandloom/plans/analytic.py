@@ -250,10 +250,11 @@ def plan_categories(labels: DataFrame) -> DataFrame:
     """
     n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     residual = F.col("label").isNull() | F.col("label").isin("Other", "Unknown", "unknown", "nan", "None", "")
-    w = Window.partitionBy(residual).orderBy(F.desc("n"), "label")
-    ranked = n.withColumn("residual", residual).withColumn("r", F.row_number().over(w))
-    shown = F.when(F.col("residual"), F.coalesce("label", F.lit("not covered"))).when(F.col("r") <= TOP, F.col("label")).otherwise("Other")
-    return ranked.withColumn("shown", shown)
+    # A limit keeps TOP rows a task, so that labels in any number are never sorted in one place.
+    top = n.filter(~F.coalesce(residual, F.lit(True))).orderBy(F.desc("n"), "label").limit(TOP).select(F.col("label").alias("top"))
+    marked = n.withColumn("residual", residual).join(F.broadcast(top), F.col("label") == F.col("top"), "left")  # TOP rows
+    shown = F.when(F.col("residual"), F.coalesce("label", F.lit("not covered"))).when(F.col("top").isNotNull(), F.col("label")).otherwise("Other")
+    return marked.withColumn("shown", shown).drop("top")
 
 
 LEGEND = f"""n as (select label, count(*) as n from lab group by 1), r as (select label, n, (label is null or label in ('Other', 'Unknown', 'unknown', 'nan', 'None', '')) as residual from n),
@@ -363,16 +364,9 @@ def map_view(spark, d):
     return viewport_sample(spark, d).select(F.when(F.col("label") < 5, "category").otherwise("context").alias("layer"), "vec_id", "label")
 
 
-@query("select row_number() over (order by md5('42|' || vec_id), vec_id) as place, label::bigint as label from embeddings where vec_id % 100 = 0")
-def permuted_labels(spark, d):
-    """Labels of the queries in shuffled order, by rank of a digest."""
-    q = read(spark, d, "embeddings").filter("vec_id % 100 = 0").select("vec_id", F.col("label").cast("long").alias("label"))
-    return positions(q, [sampling.ticket(SEED, "vec_id"), F.col("vec_id")], "place").select("place", "label")
-
-
 @query("""with a as (select vec_id, label, row_number() over (order by vec_id) as place from embeddings), b as (select label, row_number() over (order by md5('42|' || vec_id), vec_id) as place from embeddings)
  select a.place, a.vec_id, a.label::bigint as label, b.label::bigint as permuted from a join b using (place)""")
-def permuted_labels_all(spark, d):
+def permuted_labels(spark, d):
     """Every row by id, with its own label and the label at the same place of the shuffled order."""
     e = read(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
     own = positions(e, [F.col("vec_id")], "place").select("place", "vec_id", "label")

@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import analytic, core_problems, embedding, relational
+from strandloom.plans import analytic, core_problems, embedding, parity, relational
 
-PARTS = [core_problems, relational, analytic, embedding]
+PARTS = [core_problems, relational, analytic, embedding, parity]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -145,21 +145,10 @@ def mixing_enrichment(spark, d):
     return seen.withColumn("e", chance.scalar()).select(F.round("o", 6).alias("observed"), F.round("e", 6).alias("expected"), F.round(F.col("o") / F.col("e"), 4).alias("enrichment"))
 
 
-@query(f"with {PAIRS} select p.qid, p.id, (select count(*) from p p2 where p2.qid = p.qid and round(p2.score, 9) > round(p.score, 9)) as rank_all from p where p.qid = 0 and p.id <= 20")
-def map_rank(spark, d):
-    """How many vectors are strictly nearer to the query than each of some points."""
-    q = embeddings(spark, d).filter("vec_id = 0")
-    near = scores(q, "vec_id", "embedding", embeddings(spark, d), "vec_id", "embedding", DIM, None).withColumn("s", F.round("score", 9))
-    # The points are few; each row is compared with all of them where it stands, and the counts are summed.
-    points = near.filter("id <= 20").agg(F.collect_list(F.struct("id", "s"))).scalar()
-    e = near.select("qid", "s", F.explode(points).alias("p"))
-    return e.groupBy("qid", F.col("p.id").alias("id")).agg(F.count_if(F.col("s") > F.col("p.s")).alias("rank_all"))
-
-
 @query(f"""with {PAIRS}, {_topk(10, 'qid <> id')}, c as (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings),
  h as (select t.qid, t.id, t.rank, q.x as qx, q.y as qy, (x.x - q.x) * (x.x - q.x) + (x.y - q.y) * (x.y - q.y) as d2 from t join c q on q.vec_id = t.qid join c x on x.vec_id = t.id)
  select h.qid, h.id, h.rank, (select count(*) from c where (c.x - h.qx) * (c.x - h.qx) + (c.y - h.qy) * (c.y - h.qy) < h.d2) as map_rank from h""")
-def map_rank_hits(spark, d):
+def map_rank(spark, d):
     """For every hit of every query its rank by cosine, and how many of all vectors are strictly nearer to the query on the map (the query itself counts)."""
     c = embeddings(spark, d).select("vec_id", F.slice("embedding", 1, 2).alias("xy"))
     hits = neighbours(spark, d, exclude_self=True).select("qid", "id", F.col("rank").cast("long").alias("rank"))
@@ -292,25 +281,62 @@ def graph(spark: SparkSession, d: str, k: int) -> DataFrame:
     return knn(e, "vec_id", "embedding", e, "vec_id", "embedding", DIM, k, "cosine", True)
 
 
-@query()
+@query(f"""with {UNIT}, p as (select q.vec_id as qid, x.vec_id as id, list_dot_product(q.v, x.v) as score from u q join u x on q.vec_id <> x.vec_id),
+ t as (select qid, id, score, row_number() over (partition by qid order by round(score, 12) desc, id)::int as rank from p qualify rank <= 15) select qid, id, rank, round(score, 6) as score from t""")
 def knn_graph(spark, d):
     return graph(spark, d, 15).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
-def _placed(spark: SparkSession, ids: np.ndarray, y: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(int(a), float(b), float(c)) for a, (b, c) in zip(ids, y[:, :2])], "vec_id long, x double, y double")
+LANDMARKS = layout.CAP
+
+
+def _laid_out(spark: SparkSession, d: str, k: int, make) -> DataFrame:
+    """Places of all vectors: landmarks by ``make(edges, vectors by id)``, the others among them."""
+    e = embeddings(spark, d)
+    some = cut(layout.landmarks(e.select("vec_id", "embedding"), "vec_id", LANDMARKS), "landmarks")
+    edges = knn(some, "vec_id", "embedding", some, "vec_id", "embedding", DIM, k, "cosine", True)
+    v = some.toPandas().set_index("vec_id")["embedding"]  # LANDMARKS rows
+    ids, y = make(edges, v)
+    return layout.place(e, "vec_id", "embedding", DIM, ids, np.array(v.loc[ids].tolist()), y)
+
+
+def _components(v, ids: np.ndarray, dims: int) -> np.ndarray:
+    x = np.array(v.loc[ids].tolist())
+    _, comp, _ = pca.fit(len(x), x.sum(0), x.T @ x)
+    return (x - x.mean(0)) @ comp[:dims].T
 
 
 @query()
 def spectral_init(spark, d):
-    ids, i, j, w = layout.edge_arrays(layout.fuzzy_weights(graph(spark, d, 15)), "weight")
-    return _placed(spark, ids, layout.spectral(len(ids), i, j, w, 2))
+    def make(edges, v):
+        ids, i, j, w = layout.edge_arrays(layout.fuzzy_weights(edges), "weight")
+        return ids, layout.spectral(len(ids), i, j, w, 2)
+
+    return _laid_out(spark, d, 15, make)
+
+
+@query()
+def pca_init(spark, d):
+    """Start of a layout from principal components, scaled to 10 and jittered."""
+    return _laid_out(spark, d, 1, lambda edges, v: (np.array(v.index), layout.init_from_pca(_components(v, np.array(v.index), 2))))
+
+
+def _umap(dims: int):
+    def make(edges, v):
+        ids, i, j, w = layout.edge_arrays(layout.fuzzy_weights(edges), "weight")
+        return ids, layout.umap(len(ids), i, j, w, dims)
+
+    return make
 
 
 @query()
 def umap_layout(spark, d):
-    ids, i, j, w = layout.edge_arrays(layout.fuzzy_weights(graph(spark, d, 15)), "weight")
-    return _placed(spark, ids, layout.umap(len(ids), i, j, w))
+    return _laid_out(spark, d, 15, _umap(2))
+
+
+@query()
+def umap_layout_3d(spark, d):
+    return _laid_out(spark, d, 15, _umap(3))
 
 
 @query()
@@ -318,12 +344,22 @@ def tsne_affinities(spark, d):
     return layout.affinities(graph(spark, d, 30), 10.0).select("qid", "id", F.round("p", 9).alias("p"))
 
 
+def _tsne(dims: int):
+    def make(edges, v):
+        ids, i, j, p = layout.edge_arrays(layout.affinities(edges, 10.0), "p")
+        return ids, layout.tsne(len(ids), i, j, p, _components(v, ids, dims))
+
+    return make
+
+
 @query()
 def tsne_layout(spark, d):
-    ids, i, j, p = layout.edge_arrays(layout.affinities(graph(spark, d, 30), 10.0), "p")
-    mean, comp, _ = pca.fit(*pca.moments(embeddings(spark, d), "embedding", DIM))
-    xy = pca.transform(embeddings(spark, d), ["vec_id"], "embedding", mean, comp[:2]).toPandas().set_index("vec_id").loc[ids]
-    return _placed(spark, ids, layout.tsne(len(ids), i, j, p, xy[["x", "y"]].to_numpy()))
+    return _laid_out(spark, d, 30, _tsne(2))
+
+
+@query()
+def tsne_layout_3d(spark, d):
+    return _laid_out(spark, d, 30, _tsne(3))
 
 
 @query()
@@ -331,7 +367,7 @@ def encode_samples(spark, d):
     """Vectors of a small seeded transformer from aligned expression rows."""
     rows = embeddings(spark, d).select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.log1p(F.greatest(x, F.lit(0.0)))).alias("x"))
     out = encoder.encode_table(rows, "vec_id", "x", encoder.seeded_weights(DIM), l2=True)
-    return out.select("vec_id", F.size("embedding").alias("dim"), F.round(vec.norm(F.col("embedding")), 4).alias("norm"))
+    return out.select("vec_id", "embedding")
 
 
 QUERIES, SQL = R.QUERIES, R.SQL

@@ -25,6 +25,15 @@ def viewport_of(event: dict | None, now: tuple | None) -> tuple | None:
     return now
 
 
+def next_viewport(trigger: str, event: dict | None, frame: tuple | None, now: tuple | None) -> tuple | None:
+    """The window after a trigger: a new method or dimension resets it, a retrieval frames its hits, a pan or zoom moves it, all else keeps it."""
+    if trigger in ("method", "dims", "reset"):
+        return None
+    if trigger == "retrieval":
+        return frame if frame is not None else now
+    return viewport_of(event, now) if trigger == "relayout" else now
+
+
 def budgets(total: int, dims: int) -> list[tuple[str, int]]:
     """(name, points) of the offered budgets; 'All' only where a flat map can draw all."""
     out = [(f"{n:,}", n) for n in BUDGETS[dims] if n < total]

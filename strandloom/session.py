@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,11 +29,14 @@ def get_spark(cores: int | str = "*", app: str = "strandloom", shuffle_partition
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage.
 
-    It is the one named by ``spark.checkpoint.dir``.  Only a session that names
-    none (a local test) gets a private temporary folder.
+    It is the one named by ``spark.checkpoint.dir``.  A session in one process
+    (a test) that names none gets a private temporary folder; a cluster must
+    name one, since its machines share no temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = getattr(work_dir, "_local", None)
         if not folder:
             made = tempfile.mkdtemp(prefix="strandloom-")
@@ -51,6 +55,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # at the latest with the application
     return spark.read.schema(df.schema).parquet(path)
 
 

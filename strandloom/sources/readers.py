@@ -30,16 +30,47 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.csv(path, header=True, inferSchema=False).columns[1:]
 
 
+def numbered_lines(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """line, fields (by column name) of a small delimited reference file; the line is its true place in the file.
+
+    Read whole, since a split file knows no line numbers; meant for gene and
+    ortholog lists of a few megabytes.
+    """
+    names = spark.read.csv(path, sep=sep, header=True).columns
+    text = spark.read.text(path, wholetext=True)
+    lines = text.select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "text")).filter("line > 0 and trim(text) <> ''")
+    shape = ", ".join(f"`{n}` string" for n in names)
+    return lines.select("line", F.from_csv("text", shape, {"sep": sep}).alias("r")).select("line", "r.*")
+
+
 def orthologs(spark: SparkSession, path: str) -> DataFrame:
     """gene, symbol, line of the one-to-one pairs; line is the place in the file, in which the last of several wins."""
-    t = spark.read.csv(path, sep="\t", header=True)
-    kept = t.filter(F.col("Human homology type") == "ortholog_one2one")
-    return kept.select(F.substring_index(F.col("Gene stable ID"), ".", 1).alias("gene"), F.col("Human gene name").alias("symbol"), F.monotonically_increasing_id().alias("line"))
+    kept = numbered_lines(spark, path, "\t").filter(F.col("Human homology type") == "ortholog_one2one")
+    return kept.select(F.substring_index(F.col("Gene stable ID"), ".", 1).alias("gene"), F.col("Human gene name").alias("symbol"), "line")
+
+
+def exon_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, length: of a gene's several rows the first one with a positive length counts."""
+    from strandloom.operators.expression import first_positive
+
+    t = numbered_lines(spark, path, ",").select(F.col("gene_symbol").alias("symbol"), F.expr("try_cast(exon_length as double)").alias("length"), "line")
+    return first_positive(t.filter("symbol is not null"), "symbol", "length", "line")
+
+
+def gene_list(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, place: the canonical genes in their order."""
+    t = numbered_lines(spark, path, ",").select(F.trim("gene_symbol").alias("symbol"), "line").filter("symbol <> ''")
+    return t.groupBy("symbol").agg(F.min("line").alias("place"))
 
 
-def shards(spark: SparkSession, folder: str) -> DataFrame:
-    """All shards of a folder with the shard's name and the row's place in it."""
+def shards(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
+    """All shards of a folder, or its first ``most`` by name, with the shard's name and the row's place in it."""
     df = spark.read.parquet(folder)
+    if most is not None:
+        names = sorted(f for f in df.inputFiles())[:most]
+        if not names:
+            return df.limit(0).withColumn("shard_file", F.lit("")).withColumn("row_in_shard", F.lit(0).cast("long"))
+        df = spark.read.parquet(*names)
     return df.select("*", F.col("_metadata.file_name").alias("shard_file"), F.col("_metadata.row_index").alias("row_in_shard"))
 
 
@@ -71,6 +102,57 @@ def soft(spark: SparkSession, path: str) -> DataFrame:
     return t.select(one("^SERIES").alias("series"), one("!Series_summary").alias("summary"), one("!Series_overall_design").alias("design"))
 
 
+def filesystem(path: str):
+    """(file system, path in it) of a local path or a URI; every task opens it by itself, so shared stores work like local ones."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), str(Path(path).absolute()))
+
+
+def hdf5_metadata(ids: list[str], files: list[str], fields: dict[str, str]) -> list[dict]:
+    """One record for each id that any of the files knows, the earlier file first; ``fields`` maps names to data sets.
+
+    Needs h5py, which is looked for only here.
+    """
+    try:
+        import h5py
+    except ImportError as e:
+        raise RuntimeError("reading HDF5 metadata needs h5py") from e
+    left, out = dict.fromkeys(ids), []
+    for path in files:
+        with h5py.File(path, "r") as f:
+            known = f[fields["id"]].asstr()[:]
+            at = {k: i for i, k in enumerate(known) if k in left}
+            for k, i in at.items():
+                out.append({n: (k if n == "id" else f[d].asstr()[i]) for n, d in fields.items()})
+                left.pop(k, None)
+    return out
+
+
+def checkpoint(path: str) -> dict[str, np.ndarray]:
+    """Arrays of a saved model (.npz, or a torch file where torch is there), without a leading ``module.`` in their names."""
+    if path.endswith(".npz"):
+        with np.load(path, allow_pickle=False) as f:
+            state = {k: f[k] for k in f.files}
+    else:
+        try:
+            import torch
+        except ImportError as e:
+            raise RuntimeError("this checkpoint needs torch; save it as npz") from e
+        saved = torch.load(path, map_location="cpu", weights_only=True)
+        state = {k: v.float().numpy() for k, v in saved.get("model", saved).items() if hasattr(v, "numpy")}
+    return {k.removeprefix("module."): v for k, v in state.items()}
+
+
+def prompt_template(path: str | Path | None, default: str = "{context}") -> str:
+    """The template in a file, or the default where there is none or it is blank."""
+    try:
+        text = Path(path).read_text() if path else ""
+    except OSError:
+        text = ""
+    return text if text.strip() else default
+
+
 class RowRange(InputPartition):
     def __init__(self, start: int, stop: int):
         self.start, self.stop = start, stop
@@ -97,12 +179,17 @@ class RawVectorReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.step = options["path"], int(options.get("rows", 32768))
         self.npy = self.path.endswith(".npy")
+        store, name = filesystem(self.path)
         if self.npy:
-            a = np.load(self.path, mmap_mode="r")
-            self.dim, self.total, self.dtype, self.skip = a.shape[1], a.shape[0], str(a.dtype), a.offset
+            with store.open_input_file(name) as f:
+                version = np.lib.format.read_magic(f)
+                shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+                if fortran or len(shape) != 2:
+                    raise ValueError(f"{self.path}: rows of a matrix in row order are needed")
+                self.dim, self.total, self.dtype, self.skip = shape[1], shape[0], str(kind), f.tell()
         else:
             self.dim, self.dtype, self.skip = int(options["dim"]), options.get("dtype", "float16"), 0
-            size = Path(self.path).stat().st_size
+            size = store.get_file_info(name).size
             width = self.dim * np.dtype(self.dtype).itemsize
             if size % width:
                 raise ValueError(f"{self.path}: {size} bytes are no whole number of rows of {width}")
@@ -115,7 +202,8 @@ class RawVectorReader(DataSourceReader):
         width = self.dim * np.dtype(self.dtype).itemsize
         for a in range(part.start, part.stop, 4096):
             n = min(4096, part.stop - a)
-            with open(self.path, "rb") as f:
+            store, name = filesystem(self.path)
+            with store.open_input_file(name) as f:
                 f.seek(self.skip + a * width)
                 m = np.frombuffer(f.read(n * width), self.dtype).astype(np.float32)
             offsets = pa.array(np.arange(0, (n + 1) * self.dim, self.dim, dtype=np.int32))

@@ -230,7 +230,7 @@ def test_map_ranks_cover_every_query(spark, data):
     from strandloom.plans import embedding
 
     queries = {r.vec_id for r in embedding.asked(spark, data).collect()}
-    got = embedding.map_rank_hits(spark, data).collect()
+    got = embedding.map_rank(spark, data).collect()
     assert {r.qid for r in got} == queries and len(got) == 10 * len(queries) and max(r.id for r in got) > 20
 
 
@@ -238,7 +238,7 @@ def test_all_labels_are_permuted(spark, data):
     from strandloom.plans import analytic
 
     e = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "label").collect()
-    got = sorted(analytic.permuted_labels_all(spark, data).collect())
+    got = sorted(analytic.permuted_labels(spark, data).collect())
     assert [(r.vec_id, r.label) for r in got] == sorted((r.vec_id, r.label) for r in e) and [r.place for r in got] == list(range(1, len(e) + 1))
     assert sorted(r.permuted for r in got) == sorted(r.label for r in e) and any(r.permuted != r.label for r in got)
 
@@ -248,5 +248,5 @@ def test_context_holds_whole_summary_and_design(spark, tmp_path):
 
     rows = [("GSE1", "t", "s" * 900, "d" * 700), ("GSE2", None, None, None)]
     spark.createDataFrame(rows, "gse string, title string, geo_summary string, geo_design string").write.parquet(f"{tmp_path}/geo_records.parquet")
-    got = {r.gse: r.context for r in relational.prompt_context_whole(spark, str(tmp_path)).collect()}
+    got = {r.gse: r.context for r in relational.prompt_context(spark, str(tmp_path)).collect()}
     assert got == {"GSE1": "Series GSE1: t\n" + "s" * 900 + "\n" + "d" * 700, "GSE2": "Series GSE2: -\n-\n-"}
