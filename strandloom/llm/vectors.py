@@ -1,9 +1,9 @@
 """Permutation index: vectors as the order of their nearest pivots.
 
 Each index vector is posted in the inverted file of its nearest pivot; a query
-visits the files of its few nearest ones.  There the postings are ranked by the
-footrule distance of the two orders, and those within its bound are ranked again
-by exact cosine.  Pivots are fitted on a bounded sample; every row is indexed.
+visits the files of its few nearest ones.  There the postings
+are ranked by the footrule distance of the two orders and compared by exact
+cosine, best first.  Pivots are fitted on a bounded sample; every row is indexed.
 """
 from __future__ import annotations
 
@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 SAMPLE = 8192
 MAX_PIVOTS = 2048
 #: nearest pivots in a vector's order
-ORDER = 8
+ORDER = 48
 #: files a query visits
-VISITS = 4
+VISITS = 5
+#: postings of a query that are compared at a time
+RERANK = 16
 #: vectors of one file that one task holds
 CHUNK = 20_000
-#: share of the largest footrule distance within which a posting is looked at exactly
-WITHIN = 0.7
+#: share of a file's postings, nearest by footrule, that each query is compared with in any case
+FIRST = 0.12
 
 
 def to_matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +113,11 @@ def pivot_count(n: int) -> int:
     return int(min(MAX_PIVOTS, max(16, 2 ** round(math.log2(max(16.0, math.sqrt(n)))))))
 
 
+def file_pivots(n: int) -> int:
+    """Pivots of an index: several to each group of similar vectors, so that orders differ inside a group too."""
+    return int(min(MAX_PIVOTS, max(16, 2 ** round(math.log2(max(16.0, 8 * math.sqrt(n)))))))
+
+
 def pivot_order(u: np.ndarray, piv: np.ndarray, m: int) -> np.ndarray:
     """The ``m`` nearest pivots of each unit vector, nearest first."""
     m = min(m, len(piv))
@@ -135,17 +142,29 @@ def footrule(q: np.ndarray, x: np.ndarray, pivots: int) -> np.ndarray:
     return dist
 
 
-def _chunks(found: np.ndarray, pivots: int, n: int, sampled: int, chunk: int) -> np.ndarray:
-    """Parts that each file is split into: an upper bound of its size, from its share of the sample, over ``chunk``."""
-    k = np.bincount(found.ravel(), minlength=pivots).astype(float)
-    bound = (k + 3 * np.sqrt(k + 1) + 3) * max(1.0, n / max(sampled, 1))
-    return np.maximum(1, np.ceil(np.minimum(bound, n * found.shape[1]) / chunk)).astype(np.int32)
+class Parts:
+    """Into how many parts each file is split: an upper bound of its size, from its share of the sample, over ``chunk``.  Only files of more than one are held."""
+
+    def __init__(self, found: np.ndarray, n: int, chunk: int):
+        key, k = np.unique(found.ravel(), return_counts=True)
+        k = k.astype(float)
+        bound = (k + 3 * np.sqrt(k + 1) + 3) * max(1.0, n / max(len(found), 1))
+        parts = np.maximum(1, np.ceil(np.minimum(bound, n * found.shape[1]) / chunk)).astype(np.int32)
+        self.key, self.parts = key[parts > 1], parts[parts > 1]
+        # a file that no sampled row lies in
+        self.other = max(1, math.ceil(6 * max(1.0, n / max(len(found), 1)) / chunk))
+
+    def __call__(self, cell: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(cell), self.other, np.int32)
+        at = np.minimum(np.searchsorted(self.key, cell), len(self.key) - 1)
+        return np.where(self.key[at] == cell, self.parts[at], self.other).astype(np.int32)
 
 
 _POST = "cell int, ipart int, qpart int, q string, i long, ord binary, vec binary"
 
 
-def _postings(df: DataFrame, ident: str, vec: str, dim: int, piv: np.ndarray, visits: int, own: np.ndarray, other: np.ndarray, query: bool) -> DataFrame:
+def _postings(df: DataFrame, ident: str, vec: str, dim: int, piv: np.ndarray, visits: int, own: Parts, other: Parts, query: bool) -> DataFrame:
     """One row per file and part; each side's rows are spread over its own parts and repeated for each of the other's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,17 +175,17 @@ def _postings(df: DataFrame, ident: str, vec: str, dim: int, piv: np.ndarray, vi
             order = pivot_order(unit(m), piv, ORDER)
             packed, ids = np.array(pack(m), object), b.column(0).take(pa.array(keep)).to_pylist()
             h = b.column(2).take(pa.array(keep)).to_numpy()
-            rows, cells, mine, theirs = [], [], [], []
-            for v in range(min(visits, order.shape[1])):
-                c = order[:, v].astype(np.int32)
-                for t in range(int(other[c].max())):
-                    r = np.flatnonzero(other[c] > t)
-                    rows.append(r), cells.append(c[r]), mine.append((h[r] % own[c[r]]).astype(np.int32)), theirs.append(np.full(len(r), t, np.int32))
+            rows, files, mine, theirs = [], [], [], []
+            for c in order[:, :visits].T.astype(np.int32):
+                k = other(c)
+                for t in range(int(k.max())):
+                    r = np.flatnonzero(k > t)
+                    rows.append(r), files.append(c[r]), mine.append((h[r] % own(c[r])).astype(np.int32)), theirs.append(np.full(len(r), t, np.int32))
             r = np.concatenate(rows)
             mine, theirs = pa.array(np.concatenate(mine)), pa.array(np.concatenate(theirs))
             key = [ids[k] for k in r]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(cells)), theirs if query else mine, mine if query else theirs,
+                pa.array(np.concatenate(files)), theirs if query else mine, mine if query else theirs,
                 pa.array(key if query else [None] * len(r), pa.string()), pa.array([None] * len(r) if query else key, pa.int64()),
                 pa.array([order[k].tobytes() for k in r], pa.binary()), pa.array(packed[r].tolist(), pa.binary()),
             ], names=["cell", "ipart", "qpart", "q", "i", "ord", "vec"])
@@ -175,7 +194,40 @@ def _postings(df: DataFrame, ident: str, vec: str, dim: int, piv: np.ndarray, vi
     return src.mapInArrow(run, _POST)
 
 
-def similar(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str, ivec: str, dim: int, k: int = 10, least: float = 0.90, visits: int = VISITS, within: float = WITHIN) -> DataFrame:
+def ranked_rerank(qo: np.ndarray, xo: np.ndarray, qv: np.ndarray, xv: np.ndarray, pivots: int, least: float, first: float, block: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, posting, cosine) of the pairs with cosine >= ``least``, and how many pairs were compared exactly.
+
+    For each query the postings are ranked by footrule distance.  The nearest
+    share ``first`` of them (``block`` at least) is compared, then block after
+    block, best first, as long as the last one held a similar vector.
+    """
+    qs, xs, cs, compared = [], [], [], 0
+    step = max(1, min(1024, 4_000_000 // max(1, len(xo))))
+    n = len(xo)
+    for a in range(0, len(qo), step):
+        rank = np.argsort(footrule(qo[a: a + step], xo, pivots), axis=1, kind="stable")
+        active, at, size = np.arange(len(rank)), 0, max(block, math.ceil(first * n))
+        while len(active) and at < n:
+            cols = rank[active, at: at + size]
+            found = np.zeros(len(rank), bool)
+            compared += cols.size
+            for b in range(0, len(active), max(1, 200_000 // cols.shape[1])):  # bounded memory
+                some = active[b: b + max(1, 200_000 // cols.shape[1])]
+                c = cols[b: b + len(some)]
+                rough = np.matmul(xv[c], qv[a + some][:, :, None])[:, :, 0]
+                q, x = np.nonzero(rough >= least - 1e-4)
+                q, x = some[q], c[q, x]
+                cos = np.einsum("ij,ij->i", unit(qv[a + q].astype(np.float64)), unit(xv[x].astype(np.float64))) if len(q) else np.empty(0)
+                hit = cos >= least - 1e-9
+                qs.append(a + q[hit]), xs.append(x[hit]), cs.append(cos[hit])
+                found[q[hit]] = True
+            active, at, size = active[found[active]], at + size, block
+    if not qs:
+        return np.empty(0, int), np.empty(0, int), np.empty(0), compared
+    return np.concatenate(qs), np.concatenate(xs), np.concatenate(cs), compared
+
+
+def similar(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str, ivec: str, dim: int, k: int = 10, least: float = 0.90, visits: int = VISITS, first: float = FIRST) -> DataFrame:
     """q, i, cosine: up to ``k`` index vectors with cosine >= ``least`` for each query vector, best first, then smaller id.
 
     Unusable vectors (see :func:`to_matrix`) and null ids take no part; repeated
@@ -188,13 +240,12 @@ def similar(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str,
     qsample, nq = sample_matrix(queries, qid, qvec, dim)
     if not n or not nq:
         return spark.createDataFrame([], "q string, i long, cosine double")
-    piv = fit_pivots(isample, pivot_count(n))
+    piv = fit_pivots(isample, file_pivots(n))
     count = len(piv)
-    ichunk = _chunks(pivot_order(isample, piv, 1), count, n, len(isample), CHUNK)
-    qchunk = _chunks(pivot_order(qsample, piv, visits), count, nq, len(qsample), CHUNK)
-    posts = _postings(index, iid, ivec, dim, piv, 1, ichunk, qchunk, False).unionByName(_postings(queries, qid, qvec, dim, piv, visits, qchunk, ichunk, True))
+    iparts = Parts(pivot_order(isample, piv, 1), n, CHUNK)
+    qparts = Parts(pivot_order(qsample, piv, visits), nq, CHUNK)
+    posts = _postings(index, iid, ivec, dim, piv, 1, iparts, qparts, False).unionByName(_postings(queries, qid, qvec, dim, piv, visits, qparts, iparts, True))
     m = min(ORDER, count)
-    bound = within * m * (m + 1)
 
     def search(t: pa.Table) -> pa.Table:
         is_q = np.array(t.column("q").is_valid().to_pylist(), bool)
@@ -205,27 +256,16 @@ def similar(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str,
         orders = [np.frombuffer(b"".join(x.column("ord").to_pylist()), np.int16).reshape(-1, m) for x in (qt, it)]
         qv, iv = (unit(unpack(x.column("vec").to_pylist(), dim)) for x in (qt, it))
         ids = it.column("i").to_numpy()
-        keys, out = qt.column("q").to_pylist(), []
-        step = max(1, min(512, 4_000_000 // len(it)))
-        for a in range(0, len(qt), step):
-            near = footrule(orders[0][a: a + step], orders[1], count) <= bound
-            # One product for the postings near any query of the block costs far less than fetching vectors pair by pair.
-            cols = np.flatnonzero(near.any(0))
-            rough = qv[a: a + step] @ iv[cols].T
-            q, x = np.nonzero(near[:, cols] & (rough >= least - 1e-4))
-            q, x = q + a, cols[x]
-            cos = np.einsum("ij,ij->i", unit(qv[q].astype(np.float64)), unit(iv[x].astype(np.float64))) if len(q) else np.empty(0)
-            hit = np.flatnonzero(cos >= least - 1e-9)
-            out.append((q[hit], ids[x[hit]], cos[hit]))
-        if not out:
+        q, x, cos, _ = ranked_rerank(orders[0], orders[1], qv, iv, count, least, first)
+        if not len(q):
             return empty
-        q, i, cos = (np.concatenate(c) for c in zip(*out))
+        i = ids[x]
         best = np.lexsort((i, -np.round(cos, 9), q))
         q, i, cos = q[best], i[best], cos[best]
-        place = np.arange(len(q)) - np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]] if len(q) else np.empty(0, bool), np.arange(len(q)), 0)) if len(q) else np.empty(0, int)
+        place = np.arange(len(q)) - np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], np.arange(len(q)), 0))
         keep = place < k
         q, i, cos = q[keep], i[keep], cos[keep]
-        vecs = qt.column("vec").to_pylist()
+        vecs, keys = qt.column("vec").to_pylist(), qt.column("q").to_pylist()
         hashes = {r: hash_bytes(vecs[r]) for r in set(q.tolist())}
         return pa.table({"q": pa.array([keys[r] for r in q], pa.string()), "qh": pa.array([hashes[r] for r in q.tolist()], pa.int64()), "i": pa.array(i, pa.int64()), "cosine": pa.array(cos, pa.float64())})
 
