@@ -24,6 +24,7 @@ from strandloom.session import cut
 TOKENS = 6  # pivots in a vector's set
 BANDS = 10  # bands of one MinHash each
 JACCARD = 0.09  # sets that share one pivot of six; the cosine decides beyond it
+FIRST = 64  # leading values that decide between several vectors of a key
 CHUNK = 8_000  # members of one bucket that one task holds, twice
 
 
@@ -101,18 +102,25 @@ def links(u: np.ndarray, tokens: np.ndarray, least: float, jaccard: float, pivot
     return out
 
 
+def ordered(m: np.ndarray) -> list[bytes]:
+    """Bytes that compare as the rows' values do."""
+    bits = (m.astype(np.float32) + np.float32(0)).view(np.uint32)
+    bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
+    return [r.tobytes() for r in bits.astype(">u4")]
+
+
 def usable(df: DataFrame, key: str, vec: str, dim: int, piv: np.ndarray) -> DataFrame:
-    """key, vec (packed), ord (its set): one row per key that has a usable vector; of several the smallest packed one."""
+    """key, vec (packed), ord (its set): one row per key that has a usable vector; of several the smallest by its first FIRST values, then by its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, m = to_matrix(b.column(1), dim)
             if len(keep):
                 order = pivot_order(unit(m), piv, TOKENS)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(pack(m), pa.binary()), pa.array([o.tobytes() for o in order], pa.binary())], names=["key", "vec", "ord"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(ordered(m[:, :FIRST]), pa.binary()), pa.array(pack(m), pa.binary()), pa.array([o.tobytes() for o in order], pa.binary())], names=["key", "low", "vec", "ord"])
 
     src = df.select(F.col(key).cast("string").alias("key"), F.col(vec).alias("v")).filter("key is not null and v is not null")
-    one = src.mapInArrow(run, "key string, vec binary, ord binary").groupBy("key").agg(F.min(F.struct("vec", "ord")).alias("x"))
+    one = src.mapInArrow(run, "key string, low binary, vec binary, ord binary").groupBy("key").agg(F.min(F.struct("low", "vec", "ord")).alias("x"))
     return one.select("key", "x.vec", "x.ord")
 
 
@@ -149,11 +157,12 @@ def cluster(df: DataFrame, key: str, vec: str, dim: int, least: float = 0.90, sm
     posted = base.select("ord", "key", "vec").mapInArrow(buckets, "band int, token int, ord binary, key string, vec binary")
     if big:
         # A bucket too large for one task is cut into parts, and each pair of parts is a task: all of its links, in bounded memory.
-        many = F.create_map(*[F.lit(x) for (a, b), v in big.items() for x in (a * count + b, v)])
-        k = F.coalesce(F.try_element_at(many, F.col("band") * count + F.col("token")), F.lit(1))
+        many = F.broadcast(spark.createDataFrame([(int(a), int(b), int(v)) for (a, b), v in big.items()], "band int, token int, k int"))  # BANDS * MAX_PIVOTS rows at most
+        posted = posted.join(many, ["band", "token"], "left")
+        k = F.coalesce("k", F.lit(1))
         own = F.pmod(F.xxhash64("key"), k).cast("int")
         posted = posted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
-        posted = posted.withColumn("pa", F.least("own", "other")).withColumn("pb", F.greatest("own", "other")).drop("own", "other")
+        posted = posted.withColumn("pa", F.least("own", "other")).withColumn("pb", F.greatest("own", "other")).drop("own", "other", "k")
     else:
         posted = posted.withColumn("pa", F.lit(0)).withColumn("pb", F.lit(0))
 
@@ -168,6 +177,15 @@ def cluster(df: DataFrame, key: str, vec: str, dim: int, least: float = 0.90, sm
     comp = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster_key"))
     large = comp.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= smallest)
     members = cut(skew_join(comp, large, ["cluster_key"], "key").join(base.select("key", "vec"), "key"), "members")
+    return members.select("key", "cluster_key"), typical(members, dim)
+
+
+def typical(members: DataFrame, dim: int) -> DataFrame:
+    """cluster_key, size, typical_key: the member with the highest mean cosine to the others (equal to nine digits: the smaller key).
+
+    ``members`` has cluster_key, key, vec and size.  First summed where the rows
+    stand, so a cluster sends a few partial sums, not its members.
+    """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -194,7 +212,6 @@ def cluster(df: DataFrame, key: str, vec: str, dim: int, least: float = 0.90, sm
         total = np.array([np.frombuffer(x, np.float64) for x in t.column("total").to_pylist()]).sum(0)
         return pa.table({"cluster_key": pa.array([t.column("cluster_key")[0].as_py()], pa.string()), "total": pa.array([total.tobytes()], pa.binary())})
 
-    # First summed where the rows stand, so a cluster sends a few partial sums, not its members.
     partial = members.select("cluster_key", "vec").mapInArrow(sums, "cluster_key string, total binary")
     totals = partial.groupBy("cluster_key").applyInArrow(merged, "cluster_key string, total binary")
 
@@ -208,5 +225,72 @@ def cluster(df: DataFrame, key: str, vec: str, dim: int, least: float = 0.90, sm
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(-np.round(mean, 9)), b.column(4)], names=["cluster_key", "key", "far", "size"])
 
     scored = skew_join(members, totals, ["cluster_key"], "key").select("cluster_key", "key", "vec", "total", "size").mapInArrow(means, "cluster_key string, key string, far double, size long")
-    described = scored.groupBy("cluster_key").agg(F.max("size").alias("size"), F.min(F.struct("far", "key"))["key"].alias("typical_key"))
-    return members.select("key", "cluster_key"), described
+    return scored.groupBy("cluster_key").agg(F.max("size").alias("size"), F.min(F.struct("far", "key"))["key"].alias("typical_key"))
+
+
+def medoid_parts(u: np.ndarray, keys: list[str], least: float) -> list[tuple[int, int]]:
+    """(member, medoid) of each row: the member of highest degree takes all rows linked to it, then the same among those left.
+
+    The degree is the sum of cosines to the members left, so it costs one product
+    with their sum; equal degrees (to nine digits) go to the smaller key.
+    """
+    left = np.array(sorted(range(len(keys)), key=lambda i: keys[i]))
+    out = []
+    while len(left):
+        degree = np.round((u[left] @ u[left].sum(0) - 1.0) / max(1, len(left) - 1), 9)
+        top = left[int(degree.argmax())]
+        near = u[left] @ u[top] >= least - 1e-9
+        near[left == top] = True
+        out += [(int(i), int(top)) for i in left[near]]
+        left = left[~near]
+    return out
+
+
+def split_loose(df: DataFrame, key: str, vec: str, dim: int, members: DataFrame, least: float = 0.90) -> DataFrame:
+    """key, cluster_key, medoid_key: clusters joined through others, split around their members of highest degree.
+
+    In each part every member has cosine >= ``least`` to its medoid; a tight
+    cluster stays whole.  ``members`` (key, cluster_key) is the result of
+    :func:`cluster`.  Clusters of up to CHUNK members are split in one task each;
+    a larger one gives off one part a round, from sums, until the rest fits.
+    """
+    spark = df.sparkSession
+    kind = "key string, cluster_key string, medoid_key string"
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, m = to_matrix(b.column(1), dim)
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(ordered(m[:, :FIRST]), pa.binary()), pa.array(pack(m), pa.binary())], names=["key", "low", "vec"])
+
+    src = df.select(F.col(key).cast("string").alias("key"), F.col(vec).alias("v")).filter("key is not null and v is not null").mapInArrow(packed, "key string, low binary, vec binary")
+    one = src.groupBy("key").agg(F.min(F.struct("low", "vec"))["vec"].alias("vec"))
+    sizes = members.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("size"))
+    rest = cut(skew_join(members.select("key", "cluster_key"), sizes, ["cluster_key"], "key").join(one, "key"), "loose")
+
+    def split(t: pa.Table) -> pa.Table:
+        keys = t.column("key").to_pylist()
+        u = unit(unpack(t.column("vec").to_pylist(), dim).astype(np.float64))
+        found = medoid_parts(u, keys, least)
+        return pa.table({"key": pa.array([keys[i] for i, _ in found], pa.string()), "cluster_key": pa.array([t.column("cluster_key")[0].as_py()] * len(found), pa.string()), "medoid_key": pa.array([keys[j] for _, j in found], pa.string())})
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (unit(unpack(b.column(i).to_pylist(), dim).astype(np.float64)) for i in (2, 4))
+                ok = np.einsum("ij,ij->i", x, y) >= least - 1e-9
+                same = np.array([a == c for a, c in zip(b.column(0).to_pylist(), b.column(3).to_pylist())])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(ok | same)], names=["key", "cluster_key", "vec", "medoid_key", "linked"])
+
+    out = rest.filter(F.col("size") <= CHUNK).groupBy("cluster_key").applyInArrow(split, kind)
+    rest = rest.filter(F.col("size") > CHUNK)
+    while not rest.isEmpty():
+        heads = typical(rest, dim).select("cluster_key", F.col("typical_key").alias("medoid_key"))
+        vecs = heads.join(rest.select(F.col("key").alias("medoid_key"), F.col("vec").alias("head")), "medoid_key")
+        marked = cut(skew_join(rest.select("key", "cluster_key", "vec"), vecs, ["cluster_key"], "key").select("key", "cluster_key", "vec", "medoid_key", "head").mapInArrow(near, "key string, cluster_key string, vec binary, medoid_key string, linked boolean"), "marked")
+        out = out.unionByName(marked.filter("linked").select("key", "cluster_key", "medoid_key"))
+        left = marked.filter("not linked").select("key", "cluster_key", "vec")
+        rest = cut(skew_join(left, left.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("size")), ["cluster_key"], "key"), "loose")
+        out = out.unionByName(rest.filter(F.col("size") <= CHUNK).groupBy("cluster_key").applyInArrow(split, kind))
+        rest = rest.filter(F.col("size") > CHUNK)
+    return out

@@ -64,6 +64,13 @@ def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
     return described.join(per, "cluster_key").select("cluster_key", "size", "typical_key", "tissue", "n_samples")
 
 
+def p7_parts(spark: SparkSession, d: str) -> DataFrame:
+    """sample_key, cluster_key, medoid_key: clusters that hold together only through others, split around their members of highest degree."""
+    df = read(spark, d, "osdr_query_embeddings")
+    members, _ = clusters.cluster(df, "sample_key", "embedding", DIM)
+    return clusters.split_loose(df, "sample_key", "embedding", DIM, members).select(F.col("key").alias("sample_key"), "cluster_key", "medoid_key")
+
+
 # ---- p8 ---------------------------------------------------------------------
 
 
@@ -94,7 +101,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(read(spark, d, "documents"), "doc_id", "text", pii_training.weights())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p5_found, p6_found, p7_found, p7_clusters, p8_assignment, p9_found, p9_items, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p5_found, p6_found, p7_found, p7_clusters, p7_parts, p8_assignment, p9_found, p9_items, p10_found, p10_redacted)}
 
 _VALID = "embedding is not null and len(embedding) = 512 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
 _UNIT = "list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[])))"

@@ -128,6 +128,24 @@ def test_files_are_split_without_loss(spark, points, monkeypatch):
     assert {i for k, i in whole if k == "q0"} == set(range(10))
 
 
+def test_rank_by_footrule_spares_most_comparisons():
+    """Recall against brute force stays above 0.97 while less than a fifth of a file's postings is compared."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(5, 64))
+    x = np.repeat(centres, 800, 0) + rng.normal(0, 0.8, (4000, 64))
+    x[1::8] = x[::8] + rng.normal(0, 0.35, (500, 64))
+    u = vectors.unit(x.astype(np.float32))
+    piv = vectors.fit_pivots(u, 512)
+    order = vectors.pivot_order(u, piv, vectors.ORDER)
+    q = np.arange(0, 4000, 8)
+    a, b, _, compared = vectors.ranked_rerank(order[q], order, u[q], u, len(piv), 0.9, vectors.FIRST)
+    got = set(zip(q[a].tolist(), b.tolist()))
+    s = u[q] @ u.T
+    want = {(int(q[i]), int(j)) for i, j in np.argwhere(s >= 0.9)}
+    assert len(want) > 800 and len(got & want) >= 0.97 * len(want) and got <= want | {(int(q[i]), int(j)) for i, j in np.argwhere(s >= 0.8999)}
+    assert compared < 0.2 * s.size
+
+
 def test_footrule():
     rng = np.random.default_rng(1)
     a, b = (np.array([rng.permutation(12)[:4] for _ in range(9)], np.int16) for _ in range(2))
@@ -169,6 +187,36 @@ def test_clusters_against_brute_force(spark, points, monkeypatch, chunk):
     assert members.count() == sum(n for n, _ in want.values()) == members.select("key").distinct().count()
 
 
+@pytest.mark.parametrize("chunk", [8_000, 40])
+def test_loose_clusters_are_split_around_medoids(spark, monkeypatch, chunk):
+    """A chain holds together only through its middle; its parts are within reach of their medoids, whatever the size of a task."""
+    monkeypatch.setattr(clusters, "CHUNK", chunk)
+    turn = np.deg2rad(np.arange(0, 180, 3.0))
+    chain = np.zeros((60, DIM))
+    chain[:, 0], chain[:, 1] = np.cos(turn), np.sin(turn)
+    tight = np.zeros((4, DIM))
+    tight[:, 5], tight[:, 6] = 1, [0, 0.01, 0.02, 0.03]
+    rows = [(f"c{i:02d}", v) for i, v in enumerate(chain)] + [(f"t{i}", v) for i, v in enumerate(tight)] + [("t0", tight[0]), (None, tight[0]), ("x", None)]
+    df = _table(spark, rows, "k string")
+    members, _ = clusters.cluster(df, "k", "embedding", DIM)
+    out = clusters.split_loose(df, "k", "embedding", DIM, members).collect()
+    assert len(out) == 64 and len({r.key for r in out}) == 64
+    at = {k: v for k, v in rows if k and v is not None}
+    assert all(at[r.key] @ at[r.medoid_key] / np.linalg.norm(at[r.key]) / np.linalg.norm(at[r.medoid_key]) >= 0.9 - 1e-6 for r in out)
+    assert {(r.cluster_key, len({x.medoid_key for x in out if x.cluster_key == r.cluster_key}) > 1) for r in out} == {("c00", True), ("t0", False)}
+    want = clusters.medoid_parts(vectors.unit(chain), [f"c{i:02d}" for i in range(60)], 0.9)
+    assert {(r.key, r.medoid_key) for r in out if r.cluster_key == "c00"} == {(f"c{i:02d}", f"c{j:02d}") for i, j in want}
+
+
+def test_of_several_vectors_the_smallest_counts(spark):
+    a, b = np.zeros(DIM), np.zeros(DIM)
+    a[:2], b[:2] = (-2, 1), (-1, 3)
+    rows = [("k", b), ("k", a), ("m", a * 2), ("n", a * 3)]
+    members, _ = clusters.cluster(_table(spark, rows, "k string"), "k", "embedding", DIM)
+    assert {r.key for r in members.collect()} == {"k", "m", "n"}
+    assert sorted(clusters.ordered(np.array([[1.0, 2], [-1, 5], [0, 0], [-3, 1], [1, -2]], np.float32))) == clusters.ordered(np.array([[-3, 1], [-1, 5], [0, 0], [1, -2], [1, 2.0]], np.float32))
+
+
 def test_no_clusters(spark):
     members, described = clusters.cluster(_table(spark, [], "k string"), "k", "embedding", DIM)
     assert members.count() == described.count() == 0
