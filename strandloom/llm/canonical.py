@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.skew import skew_join
+from strandloom.session import cut
 from strandloom.tables import is_missing
 
 K = 3  # the largest distance any entry allows
@@ -71,6 +73,8 @@ def readings(value: str) -> list[tuple[str, int]]:
     def add(ws: list[str]) -> None:
         if ws:
             out.setdefault("".join(ws), len(full) - len(ws))
+            if len(ws) > 4:
+                out.setdefault("".join(sorted(ws)), len(full) - len(ws))
 
     add(full)
     head = words(re.sub(r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}|[;/#].*$|\s-\s.*$", " ", value)) or full
@@ -124,15 +128,22 @@ class Automaton:
         return to
 
 
+def orders(ws: list[str]) -> set[tuple[str, ...]]:
+    """Word orders that lead to an entry: all of few words; of more, which have too many, each rotation and the sorted one, under which any order is looked up."""
+    if len(ws) <= 4:
+        return set(permutations(ws))
+    return {(*ws[i:], *ws[:i]) for i in range(len(ws))} | {tuple(sorted(ws))}
+
+
 class Trie:
-    """Entries (text, id); all word orders of up to four words lead to the entry."""
+    """Entries (text, id); every word order leads to the entry."""
 
     def __init__(self, entries: Iterable[tuple[str, int]]):
         self.root: dict = {}
         self.auto = Automaton()
         for text, ident in entries:
             ws = words(text)
-            for order in set(permutations(ws)) if len(ws) <= 4 else {tuple(ws)}:
+            for order in orders(ws):
                 self._add("".join(order), ident)
 
     def _add(self, glued: str, ident: int) -> None:
@@ -204,22 +215,30 @@ def _matcher(rows: list[tuple[str, int]]):
 def match_values(df: DataFrame, value: str, entries: DataFrame, out: str = "term_id") -> DataFrame:
     """``df`` plus ``out``: the id of the entry meant by ``value``, -1 where none is close enough; rows without a value are left out.
 
-    ``df`` must have no columns named ``out``, ``m_dist`` or ``m_left``.  No
-    shuffle: values are matched once per batch where they stand.  The list goes
-    to the tasks in blocks of at most BLOCK entries; with several blocks each
-    adds a column of its best, and the best of these counts.  An empty list
-    gives -1 everywhere.
+    ``df`` must have no columns named ``out`` or beginning with ``m_``.  A list of
+    up to BLOCK entries needs no shuffle: values are matched once per batch where
+    they stand.  A longer one goes to the tasks in blocks, which each different
+    value meets once; the best of all blocks counts.  An empty list gives -1
+    everywhere.
     """
     kept = df.filter(~is_missing(F.col(f"`{value}`")))
     n = entries.count()
     blocks = max(1, -(-n // BLOCK))
-    best = None
-    for b in range(blocks):
+
+    def matcher(b: int):
         part = entries if blocks == 1 else entries.filter(F.pmod(F.xxhash64("name", "ident"), F.lit(blocks)) == b)
-        rows = sorted((r["name"], r["ident"]) for r in part.collect())  # BLOCK entries on average
-        kept = kept.withColumn(f"m_{b}", F.pandas_udf(_matcher(rows), "dist int, left int, ident int")(F.col(f"`{value}`")))
-        best = F.col(f"m_{b}") if best is None else F.least(best, F.col(f"m_{b}"))
-    return kept.withColumn(out, best["ident"]).drop(*[f"m_{b}" for b in range(blocks)])
+        return F.pandas_udf(_matcher(sorted((r["name"], r["ident"]) for r in part.collect())), "dist int, left int, ident int")  # BLOCK entries on average
+
+    if blocks == 1:
+        return kept.withColumn("m_0", matcher(0)(F.col(f"`{value}`"))).withColumn(out, F.col("m_0.ident")).drop("m_0")
+    # Each different value meets the blocks once, however many rows hold it.
+    values = cut(kept.select(F.col(f"`{value}`").alias("m_value")).distinct(), "values")
+    found = None
+    for b in range(blocks):
+        part = values.withColumn("m", matcher(b)("m_value"))
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("m_value").agg(F.min("m")["ident"].alias("m_ident"))
+    return skew_join(kept.withColumn("m_value", F.col(f"`{value}`")).withColumn("m_row", F.monotonically_increasing_id()), best, ["m_value"], "m_row").withColumn(out, F.col("m_ident")).drop("m_value", "m_ident", "m_row")
 
 
 def unmatched(matched: DataFrame, value: str, out: str = "term_id") -> DataFrame:

@@ -24,8 +24,8 @@ WINDOW = 12
 SHINGLE = 5
 RADIUS = 3
 BLOCKS = RADIUS + 1
-#: items whose windows one pass holds; longer lists are taken in blocks
-ITEMS = 5_000
+#: words of the items that one pass holds; longer lists are taken in blocks
+ITEM_WORDS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -134,15 +134,16 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     reaches it, hence also with a word changed, as far as RADIUS bits go.  Null
     and empty texts, and items shorter than a window, give no rows.  Documents
     are read whole, in the tasks that scan them; only the items' windows travel,
-    ITEMS items at a time.
+    ITEM_WORDS words at a time.
     """
     spark = docs.sparkSession
     src = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).filter("doc_id is not null and t <> ''"))
     chosen = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
-    blocks = max(1, -(-chosen.count() // ITEMS))
+    size = chosen.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // ITEM_WORDS))
     out = None
     for b in range(blocks):
-        rows = [(r["i"], r["t"]) for r in chosen.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]  # ITEMS items on average
+        rows = [(r["i"], r["t"]) for r in chosen.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]  # ITEM_WORDS words on average
         part = src.mapInPandas(_finder(sorted(rows), least), "doc_id long, item_id long")
         out = part if out is None else out.unionByName(part)
     return (out if out is not None else spark.createDataFrame([], "doc_id long, item_id long")).distinct()

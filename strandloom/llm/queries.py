@@ -105,7 +105,16 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p5_found, p6_found, p
 
 _VALID = "embedding is not null and len(embedding) = 512 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
 _UNIT = "list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[])))"
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)).replace("'", "''")  # full-width forms of the ASCII signs
+_ASCII = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+_WORDS = f"regexp_extract_all(lower(replace(replace(translate(nfc_normalize(text), '{_WIDE}', '{_ASCII}'), 'ﬁ', 'fi'), 'ﬂ', 'fl')), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = f"""with d as (select doc_id, {_WORDS} as w from documents where text is not null), i as (select item_id, {_WORDS} as w from eval_items where text is not null),
+dg as (select distinct doc_id, array_to_string(w[p:p + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as p from d)),
+ig as (select distinct item_id, array_to_string(w[p:p + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as p from i)),
+f as (select distinct doc_id, item_id from dg join ig using (g))"""
 SQL = {
+    "p9_found": f"{_GRAMS} select doc_id, item_id from f",
+    "p9_items": f"{_GRAMS} select item_id, count(*) as n_docs from f group by 1",
     "p5_found": f"""
 with q as (select distinct sample_key, embedding from osdr_query_embeddings where {_VALID}), qu as (select sample_key, row_number() over () as n, {_UNIT} as v from q),
 i as (select global_index, {_UNIT} as v from sample_embeddings where {_VALID}),

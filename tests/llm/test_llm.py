@@ -61,6 +61,13 @@ def test_values_of_table(spark):
     assert canonical.match_values(df.limit(0), "value", none).count() == 0
 
 
+def test_word_order_is_free():
+    t = canonical.Trie([("left anterior part of the upper outer leaflet", 1), ("spinal cord", 2)])
+    for value in ("leaflet outer upper the of part anterior left", "upper outer leaflet left anterior part of the", "part leaflet the left of outer upper anterior"):
+        assert t.match(value)[2] == 1, value
+    assert t.match("cord spinal")[2] == 2 and t.match("cord of the upper part")[2] == -1
+
+
 def test_long_lists_are_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(canonical, "BLOCK", 3)
     terms = spark.createDataFrame([(i, e, None) for i, e in enumerate(ENTRIES)], TERMS)
@@ -341,7 +348,7 @@ def test_leaks_against_brute_force(spark):
 def test_item_blocks_lose_nothing(spark, monkeypatch):
     text = [" ".join(f"a{i}b{j}" for j in range(14)) for i in range(12)]
     t = spark.createDataFrame(list(enumerate(text)), "item_id long, text string")
-    monkeypatch.setattr(leaks, "ITEMS", 4)
+    monkeypatch.setattr(leaks, "ITEM_WORDS", 60)
     assert leaks.leaked(t, "item_id", "text", t.withColumnRenamed("item_id", "i"), "i", "text").count() == 12
 
 
@@ -456,7 +463,7 @@ def test_query(spark, data, name):
     assert rows and len(df.columns) == len(set(df.columns))
     if name in queries.SQL:
         c = duckdb.connect()
-        for t in ("hits_df", "osdr_query_embeddings", "sample_embeddings"):
+        for t in ("hits_df", "osdr_query_embeddings", "sample_embeddings", "documents", "eval_items"):
             c.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
         q = c.execute(queries.SQL[name])
         cols = [x[0] for x in q.description]
