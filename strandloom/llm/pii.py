@@ -93,6 +93,32 @@ def messages(belief: np.ndarray, left: np.ndarray, right: np.ndarray, table: np.
     return a - a[:, :1], b - b[:, :1]
 
 
+def could_differ(field: Field, u: np.ndarray, bound: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Tokens that some run of other labels than O around them could win, by SETTLED or less short of it.
+
+    A run between two O gains its tokens' scores over O, a transition inside for
+    each further token, and the way in and out; skips add what they can at most.
+    The best run through each token follows from running sums and their running
+    minima, from both sides.
+    """
+    pair, none = field.pair, field.pair[0, 0]
+    inside = pair[1:, 1:].max() - none
+    around = pair[0, 1:].max() + pair[1:, 0].max() - 2 * none - inside
+    told = (field.skip - field.skip[:, :, :1]).max((0, 1)) + (field.skip - field.skip[:, :1]).max((0, 2))
+    v = u[:, 1].astype(np.float64)
+    for c in range(2, u.shape[1]):
+        np.maximum(v, u[:, c], out=v)
+    v += inside - u[:, 0]
+    v[linked] += max(0.0, float(told.max()))
+    v[bound] = -1e6
+
+    def reach(x: np.ndarray) -> np.ndarray:
+        total = np.cumsum(x)
+        return total - np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
+
+    return ~bound & (reach(v) + reach(v[::-1])[::-1] - v + around > -SETTLED)
+
+
 def label(field: Field, t: Tokens, use_skips: bool = True) -> np.ndarray:
     """The most probable label of each token after loopy messages."""
     m, k = len(t.start), len(LABELS)
@@ -103,30 +129,16 @@ def label(field: Field, t: Tokens, use_skips: bool = True) -> np.ndarray:
     start[0, 1:] -= SPARSE
     field = Field(field.unary, start, field.skip)
     u = scores(field, t.feats)
-    # What the potentials around a token could add to a label over O, at most; less where a neighbour is settled.
-    into, on = (field.pair - field.pair[:, :1]).astype(np.float32), (field.pair - field.pair[:1]).T.astype(np.float32)
     linked = np.zeros(m, bool)
     right = np.flatnonzero(t.skip >= 0)
     left = t.skip[right]
     if use_skips:
         linked[left] = linked[right] = True
-    told = ((field.skip - field.skip[:, :, :1]).max((0, 1)) + (field.skip - field.skip[:, :1]).max((0, 2))).astype(np.float32)
-    most = into.max(0) + on.max(0) + np.maximum(told, 0)
-    best = u[:, 1] + most[1]
-    for c in range(2, k):
-        np.maximum(best, u[:, c] + most[c], out=best)
-    open_ = ~t.bound & (best > u[:, 0] - SETTLED)
-    at = np.flatnonzero(open_)
-    over = u[at, 1:] - u[at, :1]
-    for _ in range(4):
-        gain = np.where(open_[at - 1, None], into.max(0), into[0]) + np.where(open_[at + 1, None], on.max(0), on[0]) + np.where(linked[at, None], np.maximum(told, 0), 0)
-        keep = (over + gain[:, 1:]).max(1) > -SETTLED
-        if keep.all():
-            break
-        open_[at[~keep]] = False
-        at, over = at[keep], over[keep]
+    at = np.flatnonzero(could_differ(field, u, t.bound, linked))
     if not len(at):
         return lab
+    open_ = np.zeros(m, bool)
+    open_[at] = True
     starts = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
     size = np.diff(np.append(starts, len(at)))
     packs = []
