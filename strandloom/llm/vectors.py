@@ -21,9 +21,9 @@ MAX_PIVOTS = 2048
 #: nearest pivots in a vector's order
 ORDER = 48
 #: files a query visits
-VISITS = 5
+VISITS = 6
 #: postings of a query that are compared at a time
-RERANK = 16
+RERANK = 32
 #: vectors of one file that one task holds
 CHUNK = 20_000
 #: share of a file's postings, nearest by footrule, that each query is compared with in any case
@@ -114,8 +114,8 @@ def pivot_count(n: int) -> int:
 
 
 def file_pivots(n: int) -> int:
-    """Pivots of an index: several to each group of similar vectors, so that orders differ inside a group too."""
-    return int(min(MAX_PIVOTS, max(16, 2 ** round(math.log2(max(16.0, 8 * math.sqrt(n)))))))
+    """Pivots of an index: one to some thirty rows, so that orders differ inside groups of similar vectors too."""
+    return int(min(MAX_PIVOTS, max(16, 2 ** round(math.log2(max(16.0, n / 30))))))
 
 
 def pivot_order(u: np.ndarray, piv: np.ndarray, m: int) -> np.ndarray:
@@ -253,13 +253,24 @@ def similar(queries: DataFrame, qid: str, qvec: str, index: DataFrame, iid: str,
         if is_q.all() or not is_q.any():
             return empty
         qt, it = t.filter(pa.array(is_q)), t.filter(pa.array(~is_q))
-        orders = [np.frombuffer(b"".join(x.column("ord").to_pylist()), np.int16).reshape(-1, m) for x in (qt, it)]
-        qv, iv = (unit(unpack(x.column("vec").to_pylist(), dim)) for x in (qt, it))
+        # Copies of one vector are compared once; of equal cosines the smaller ids count, so k of each are all that can be among the best.
         ids = it.column("i").to_numpy()
+        code = it.column("vec").combine_chunks().dictionary_encode()
+        which = code.indices.to_numpy()
+        by = np.lexsort((ids, which))
+        begin = np.flatnonzero(np.r_[True, np.diff(which[by]) > 0])
+        nth = np.arange(len(by)) - np.repeat(begin, np.diff(np.r_[begin, len(by)]))
+        first_of, copies = by[begin], np.minimum(np.diff(np.r_[begin, len(by)]), k)
+        kept = ids[by[nth < k]]
+        start = np.r_[0, np.cumsum(copies)[:-1]]
+        orders = [np.frombuffer(b"".join(x), np.int16).reshape(-1, m) for x in (qt.column("ord").to_pylist(), it.column("ord").take(pa.array(first_of)).to_pylist())]
+        qv, iv = (unit(unpack(x, dim)) for x in (qt.column("vec").to_pylist(), it.column("vec").take(pa.array(first_of)).to_pylist()))
         q, x, cos, _ = ranked_rerank(orders[0], orders[1], qv, iv, count, least, first)
         if not len(q):
             return empty
-        i = ids[x]
+        many = copies[x]
+        i = kept[np.repeat(start[x], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        q, cos = np.repeat(q, many), np.repeat(cos, many)
         best = np.lexsort((i, -np.round(cos, 9), q))
         q, i, cos = q[best], i[best], cos[best]
         place = np.arange(len(q)) - np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], np.arange(len(q)), 0))
