@@ -182,10 +182,20 @@ def axis_spread(spark, d):
     return by_dim(embeddings(spark, d)).groupBy("dim").agg(F.round(F.stddev_pop("x"), 6).alias("spread"))
 
 
-@query(f"with {DIMS}, a as (select dim, stddev_pop(x) as s from e group by 1), q as (select dim, stddev_pop(x) as s from e where vec_id % 100 = 0 group by 1) select round((select sqrt(sum(s * s)) from q) / (select sqrt(sum(s * s)) from a), 6) as ratio")
+_USABLE = "embedding is not null and len(embedding) = 512 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0"
+
+
+@query(f"""with v as (select true as asked, embedding from osdr_query_embeddings where {_USABLE} union all select false, embedding from sample_embeddings where {_USABLE}),
+ e as (select asked, unnest(range(1, 513)) as dim, unnest(embedding::double[]) as x from v), a as (select dim, stddev_pop(x) as s from e group by 1), q as (select dim, stddev_pop(x) as s from e where asked group by 1)
+ select round((select sqrt(sum(s * s)) from q) / (select sqrt(sum(s * s)) from a), 6) as ratio""")
 def spread_ratio(spark, d):
-    size = lambda df: by_dim(df).groupBy("dim").agg(F.stddev_pop("x").alias("s")).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("t"))
-    return size(asked(spark, d)).select(F.round(F.col("t") / size(embeddings(spark, d)).scalar(), 6).alias("ratio"))
+    """Spread of the query vectors over that of all vectors; near 0 they would have collapsed."""
+    e = F.col("embedding")
+    ok = e.isNotNull() & (F.size(e) == 512) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    part = lambda name, asked_for: read(spark, d, name).filter(ok).select(F.lit(asked_for).alias("asked"), F.posexplode(e.cast("array<double>")).alias("dim", "x"))
+    every = part("osdr_query_embeddings", True).unionByName(part("sample_embeddings", False))
+    s = every.groupBy("dim").agg(F.stddev_pop("x").alias("a"), F.stddev_pop(F.when(F.col("asked"), F.col("x"))).alias("q"))
+    return s.agg(F.round(F.sqrt(F.sum(F.col("q") * F.col("q"))) / F.sqrt(F.sum(F.col("a") * F.col("a"))), 6).alias("ratio"))
 
 
 @query(f"with {DIMS}, m as (select dim, avg(x) as m from e group by 1) select a.dim as i, b.dim as j, round(sum((a.x - ma.m) * (b.x - mb.m)) / (count(*) - 1), 6) as cov from e a join e b using (vec_id) join m ma on ma.dim = a.dim join m mb on mb.dim = b.dim group by 1, 2")
