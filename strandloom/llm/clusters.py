@@ -22,8 +22,8 @@ from strandloom.operators.skew import skew_join
 from strandloom.session import cut
 
 TOKENS = 6  # pivots in a vector's set
-BANDS = 6  # bands of one MinHash each
-JACCARD = 0.3  # sets that share three pivots of six; the cosine decides beyond it
+BANDS = 10  # bands of one MinHash each
+JACCARD = 0.2  # sets that share two pivots of six; the cosine decides beyond it
 FIRST = 64  # leading values that decide between several vectors of a key
 CHUNK = 8_000  # members of one bucket that one task holds, twice
 
