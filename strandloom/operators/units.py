@@ -2,7 +2,8 @@
 
 Three sources of the unit, in this order: the value's own text, the statement of
 the source (a study's description), and the source's history, in which an exact
-penalised search finds level shifts that match a known unit factor.
+penalised search finds level shifts that match a known unit factor.  Where the
+statement names several units, the search decides among them.
 """
 from __future__ import annotations
 
@@ -133,14 +134,20 @@ def written_quantity(text: object) -> tuple[Fraction | None, str | None]:
 _ABOUT = re.compile(r"\b(durations?|length of stay|time on study|exposure times?|time (?:in|of) flight|days? on orbit column)\b")
 
 
-def stated_unit(text: object) -> str | None:
-    """The unit a free description states for durations, or None.
+_LISTED = re.compile(r"\s*(?:/|,?\s*(?:and|or)\b|,\s*(?=in\b))(?:\s*in\b)?\s*")
+_LATER = re.compile(r"\b(?:then|later|until|till|since|afterwards|thereafter)\b")
+
+
+def stated_units(text: object) -> list[str]:
+    """The units a free description states for durations, the one nearest to their mention first.
 
-    Only sentences about durations count; a unit right after a number is an
-    amount, and a unit after "not" is denied.
+    Only sentences about durations count, the first that names a unit; a unit
+    right after a number is an amount, and a unit after "not" is denied.  Further
+    units of the sentence count if they are listed with the first or said to
+    follow it in time.
     """
     if not isinstance(text, str):
-        return None
+        return []
     for sentence in re.split(r"(?<=[.;!?])\s+|\n+", unicodedata.normalize("NFKC", text).lower()):
         m = _ABOUT.search(sentence)
         if not m:
@@ -148,8 +155,26 @@ def stated_unit(text: object) -> str | None:
         spots = [(u.start() < m.start(), u.start(), WORD_UNIT[u.group()]) for u in re.finditer(rf"\b(?:{_UNIT_ALT})\b", sentence)
                  if not re.search(r"(\bnot(?: in)?|\d|\bper|\ba)\s*$", sentence[: u.start()])]
         if spots:
-            return min(spots)[2]
-    return None
+            _, begin, unit = min(spots)
+            out, maybe, end = [unit], [], None
+            for u in re.finditer(rf"\b(?:{_UNIT_ALT})\b", sentence[begin:]):
+                between = sentence[begin + end: begin + u.start()] if end is not None else None
+                if any(at == begin + u.start() for _, at, _ in spots):
+                    if between is not None and (_LISTED.fullmatch(between) or _LATER.search(between)):
+                        out += [*maybe, WORD_UNIT[u.group()]]
+                        maybe = []
+                    elif between is not None and between.strip() == ",":  # counts if the list goes on to an "and" or "or"
+                        maybe.append(WORD_UNIT[u.group()])
+                    elif between is not None:
+                        break
+                    end = u.end()
+            return list(dict.fromkeys(out))
+    return []
+
+
+def stated_unit(text: object) -> str | None:
+    """The first of :func:`stated_units`, or None."""
+    return next(iter(stated_units(text)), None)
 
 
 def _parse_batch(texts: pd.Series) -> pd.DataFrame:
@@ -167,35 +192,37 @@ def _parse_batch(texts: pd.Series) -> pd.DataFrame:
 
 
 def _stated_batch(texts: pd.Series) -> pd.Series:
-    found = {t: stated_unit(t) for t in texts.dropna().unique()}
+    found = {t: stated_units(t) for t in texts.dropna().unique()}
     return pd.Series([found.get(t) for t in texts], dtype=object)
 
 
 def with_quantities(df: DataFrame, value: str, source: str, descriptions: DataFrame, key: str, text: str) -> DataFrame:
-    """``df`` plus ``q_num, q_den`` (the number, exact), ``q_unit`` (the unit it is given in), ``q_unit_from`` (text, statement or null),
-    ``q_seconds_num, q_seconds_den`` (exact) and ``q_number`` (a bare number).
+    """``df`` plus ``q_num, q_den`` (the number, exact), ``q_units`` (the units it can be given in), ``q_unit`` (the only one of them),
+    ``q_unit_from`` (text, statement or null), ``q_seconds_num, q_seconds_den`` (exact) and ``q_number`` (a bare number).
 
     Null, missing and unreadable values give nulls; a bare number without a
-    statement has no unit.  ``descriptions`` may lack a source or hold it twice
-    (the smallest stated unit name then counts, so that the result does not
-    depend on row order).
+    statement has no unit.  ``descriptions`` may lack a source or hold it twice.
+    Where they state several units, ``q_units`` holds them all, ``q_unit`` and
+    the seconds are null, and :func:`unit_history` decides.
     """
     clean = df.withColumn("q_text", F.when(~is_missing(F.col(f"`{value}`")), F.col(f"`{value}`")))
     parsed = clean.withColumn("q_parse", F.pandas_udf(_parse_batch, "num long, den long, unit string")("q_text"))
     units = (
-        descriptions.select(F.col(f"`{key}`").alias("q_source"), F.pandas_udf(_stated_batch, "string")(F.col(f"`{text}`")).alias("q_stated"))
-        .filter(F.col("q_source").isNotNull() & F.col("q_stated").isNotNull())
-        .groupBy("q_source").agg(F.min("q_stated").alias("q_stated"))
+        descriptions.select(F.col(f"`{key}`").alias("q_source"), F.explode(F.pandas_udf(_stated_batch, "array<string>")(F.col(f"`{text}`"))).alias("q_stated"))
+        .filter(F.col("q_source").isNotNull())
+        .groupBy("q_source").agg(F.sort_array(F.collect_set("q_stated")).alias("q_stated"))  # six at most
     )
     joined = parsed.join(units, F.col(f"`{source}`") == F.col("q_source"), "left")
     seconds = F.create_map(*[F.lit(x) for kv in UNIT_SECONDS.items() for x in kv])
+    only = F.when(F.size("q_stated") == 1, F.col("q_stated")[0])
     own, stated = F.coalesce(F.col("q_parse.unit").isNotNull(), F.lit(False)), F.col("q_stated").isNotNull() & F.col("q_parse.num").isNotNull()
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
         F.col("q_parse.num").alias("q_num"), F.col("q_parse.den").alias("q_den"),
-        F.when(own, F.col("q_parse.unit")).when(stated, F.col("q_stated")).alias("q_unit"),
-        (F.col("q_parse.num") * F.try_element_at(seconds, F.when(own, F.col("q_parse.unit")).when(stated, F.col("q_stated")))).alias("q_seconds_num"),
-        F.when(own | stated, F.col("q_parse.den")).alias("q_seconds_den"),
+        F.when(own, F.array("q_parse.unit")).when(stated, F.col("q_stated")).alias("q_units"),
+        F.when(own, F.col("q_parse.unit")).when(stated, only).alias("q_unit"),
+        (F.col("q_parse.num") * F.try_element_at(seconds, F.when(own, F.col("q_parse.unit")).when(stated, only))).alias("q_seconds_num"),
+        F.when(own | (stated & only.isNotNull()), F.col("q_parse.den")).alias("q_seconds_den"),
         F.when(~own & F.col("q_parse.num").isNotNull(), F.col("q_parse.num") / F.col("q_parse.den")).alias("q_number"),
         F.when(own, F.lit("text")).when(stated, F.lit("statement")).alias("q_unit_from"),
     )
@@ -212,19 +239,22 @@ LOG_HOURS = np.log(np.array([UNIT_SECONDS[u] / 3600 for u in STATES]))
 def _costs(logv: np.ndarray, mu: np.ndarray, fixed: np.ndarray | None = None) -> np.ndarray:
     """Squared distance of a value read in each unit from its source's level, capped so that one odd value is no reason for a segment.
 
-    An observation whose unit is told (by its own text or a statement) costs
-    nothing in that unit and cannot be read in another.
+    ``fixed`` has one bit for each unit that is told (by the text or a
+    statement), 0 if none is.  An observation cannot be read in a unit that is
+    not told, and costs nothing in one that is told alone.
     """
     out = np.minimum((logv[:, None] + LOG_HOURS[None, :] - mu[:, None]) ** 2 / 2, 6.0)
     if fixed is None:
         return out
-    told = np.array([STATES.index(u) if isinstance(u, str) else -1 for u in fixed])
-    return np.where(told[:, None] < 0, out, np.where(told[:, None] == np.arange(len(STATES))[None, :], 0.0, TOLD))
+    told = (fixed[:, None] >> np.arange(len(STATES))[None, :]) & 1 > 0
+    out = np.where(told.sum(1, keepdims=True) == 1, 0.0, out)
+    return np.where(told | (fixed[:, None] == 0), out, TOLD)
 
 
 def _group_costs(g: pd.DataFrame, number: str, level: str) -> np.ndarray:
     x = g[number].to_numpy(float)
-    return _costs(np.log(np.where(x > 0, x, 1.0)), g[level].to_numpy(float), g["_told"].to_numpy(object))
+    cost = _costs(np.log(np.where(x > 0, x, 1.0)), g[level].to_numpy(float), g["_told"].to_numpy(np.int64))
+    return np.where((x > 0)[:, None] | (cost >= TOLD), cost, 0.0)  # nothing is the same in every unit
 
 
 def _transfer(cost: np.ndarray, penalty: float) -> np.ndarray:
@@ -254,8 +284,8 @@ def _viterbi(cost: np.ndarray, penalty: float, start: np.ndarray, end: np.ndarra
 def unit_history(df: DataFrame, source: str, order: list[str], number: str, level: str, fixed: str | None = None, penalty: float = 6.0) -> DataFrame:
     """``df`` plus ``unit``, the unit of each number by its source's history, and ``part``, the sorted range it lies in.
 
-    Where ``fixed`` names a unit, the history runs through it.  A null source is
-    a history of its own.
+    Where ``fixed`` names a unit, the history runs through it; where it holds an
+    array of units, through one of them.  A null source is a history of its own.
 
     ``level`` holds the log of the hours usual for the source.  The segmentation
     minimises squared distance plus ``penalty`` per change over all paths, hence
@@ -268,7 +298,13 @@ def unit_history(df: DataFrame, source: str, order: list[str], number: str, leve
     Empty input gives no rows.
     """
     spark = df.sparkSession
-    keep = df.withColumn("_told", F.col(fixed) if fixed else F.lit(None).cast("string")).filter(F.col(number).isNotNull() & ((F.col(number) > 0) | F.col("_told").isNotNull()))
+    bits = F.create_map(*[F.lit(x) for i, u in enumerate(STATES) for x in (u, 1 << i)])
+    bit = lambda u: F.coalesce(F.try_element_at(bits, u), F.lit(0))
+    told = F.lit(0)
+    if fixed:
+        listed = df.schema[fixed].dataType.typeName() == "array"
+        told = F.aggregate(F.array_distinct(F.coalesce(F.col(fixed), F.array().cast("array<string>"))), F.lit(0), lambda a, u: a + bit(u)) if listed else bit(F.col(fixed))
+    keep = df.withColumn("_told", told).filter(F.col(number).isNotNull() & ((F.col(number) > 0) | (F.col("_told") > 0)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = keep.repartitionByRange(n, F.col(source), *[F.col(o) for o in order]).sortWithinPartitions(source, *order)
     base = cut(ranged.withColumn("part", F.spark_partition_id()), "history")

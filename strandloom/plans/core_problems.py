@@ -18,28 +18,41 @@ def _quantities(spark: SparkSession, d: str) -> DataFrame:
     return units.with_quantities(samples, "duration", "accession", read(spark, d, "osdr_studies"), "accession", "description")
 
 
-def _histories(spark: SparkSession, d: str) -> DataFrame:
-    """Every duration with the unit that its study's history gives it; written and stated units are fixed observations."""
+def _levelled(spark: SparkSession, d: str) -> DataFrame:
+    """Every duration with the units it can have and the level of its study."""
     seconds = F.create_map(*[F.lit(x) for kv in units.UNIT_SECONDS.items() for x in kv])
     q = _quantities(spark, d).filter("q_num is not null").withColumn("number", F.col("q_num") / F.col("q_den"))
     q = q.withColumn("hours", F.when(F.col("q_unit_from") == "text", F.col("number") * F.try_element_at(seconds, F.col("q_unit")) / 3600))
-    q = cut(q.select("row_id", "accession", "ingested_at", "q_num", "q_den", "q_unit", "number", "hours"), "quantities")  # read four times, parsed once
+    q = cut(q.select("row_id", "accession", "ingested_at", "q_num", "q_den", "q_units", "q_unit_from", "number", "hours"), "quantities")  # read several times, parsed once
     levels = units.source_levels(q, "accession", "hours")
     overall = q.filter("hours > 0").agg(F.avg(F.log("hours"))).scalar()
-    told = q.join(levels, F.col("accession") == F.col("lv_source"), "left").select("row_id", "accession", "ingested_at", "q_num", "q_den", "q_unit", "number", F.coalesce("lv", overall, F.lit(6.0)).alias("level"))
-    return units.unit_history(told, "accession", ["ingested_at", "row_id"], "number", "level", fixed="q_unit")
+    return q.join(levels, F.col("accession") == F.col("lv_source"), "left").select(
+        "row_id", "accession", "ingested_at", "q_num", "q_den", "q_units", "q_unit_from", "number", F.coalesce("lv", overall, F.lit(6.0)).alias("level"))
+
+
+def _histories(q: DataFrame) -> DataFrame:
+    """Durations with the unit that their study's history gives them, within the written and stated units."""
+    return units.unit_history(q, "accession", ["ingested_at", "row_id"], "number", "level", fixed="q_units")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Hours of the durations whose unit is written or stated, read from the histories: number times the unit there."""
+    """Hours of the durations whose unit is written or stated: number times the unit.
+
+    Bare numbers go through the history of their study, which decides where the
+    statement leaves several units open.  What is written with its own unit tells
+    nothing of the unit of the bare numbers around it, only their level.
+    """
     seconds = F.create_map(*[F.lit(x) for kv in units.UNIT_SECONDS.items() for x in kv])
-    h = _histories(spark, d).filter("q_unit is not null").withColumn("s", F.col("q_num") * F.try_element_at(seconds, F.col("unit")))
+    q = _levelled(spark, d)
+    h = _histories(q.filter("q_unit_from = 'statement'")).select("row_id", "q_num", "q_den", "unit")
+    h = h.unionByName(q.filter("q_unit_from = 'text'").select("row_id", "q_num", "q_den", F.col("q_units")[0].alias("unit")))
+    h = h.withColumn("s", F.col("q_num") * F.try_element_at(seconds, F.col("unit")))
     return h.filter("s % (q_den * 3600) = 0").select("row_id", F.expr("s div (q_den * 3600)").alias("hours")).distinct()
 
 
 def p2_unit_changes(spark: SparkSession, d: str) -> DataFrame:
     """Runs of one unit in each study's history of durations."""
-    return units.unit_changes(_histories(spark, d), "accession", ["ingested_at", "row_id"])
+    return units.unit_changes(_histories(_levelled(spark, d)), "accession", ["ingested_at", "row_id"])
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -98,6 +98,31 @@ def test_told_units_are_fixed_and_runs_are_whole(spark):
     assert runs == [("a", 0, "day", 24.0, 0, 199, 200), ("a", 1, "hour", 1.0, 200, 399, 200), ("b", 0, "minute", 1 / 60, 0, 0, 1), ("b", 1, "week", 168.0, 1, 1, 1)]
 
 
+@pytest.mark.parametrize("text,named", [
+    ("Durations are recorded in days until 2020, later in hours.", ["day", "hour"]), ("The duration is in h or days. Durations in weeks were dropped.", ["hour", "day"]),
+    ("Durations are in days, hours or minutes.", ["day", "hour", "minute"]), ("Exposure times are hours after launch; weeks of age differ.", ["hour"]),
+    ("Duration counts h, not days or weeks.", ["hour"]), ("Durations are in days; samples froze within hours.", ["day"]), ("Durations in days, hours being rare.", ["day"]), (None, []),
+])
+def test_stated_units(text, named):
+    assert units.stated_units(text) == named
+
+
+def test_history_decides_hours_of_p2_found(spark, tmp_path):
+    """Where a statement names several units, p2_found takes the one that the history gives; one unit stands whatever the history says."""
+    from strandloom.plans import core_problems as cp
+
+    shift = ["30", "31", "29 days", "29", "720", "30 days", "744", "31 days", "696", "0"]
+    rows = [(100 * k + i, acc, dt(2024, 1, 1 + i), v) for k, acc in enumerate("ABCD") for i, v in enumerate(shift)]
+    spark.createDataFrame(rows, "row_id long, `id.accession` string, ingested_at timestamp, `study.parameter value.duration` string").write.parquet(f"{tmp_path}/osdr_samples.parquet")
+    said = [("A", "Durations are recorded in days until January, later in hours."), ("B", "Durations are recorded in days."), ("B", "Durations are recorded in hours."), ("C", "Durations are recorded in days."), ("D", "Free text.")]
+    spark.createDataFrame(said, "accession string, description string").write.parquet(f"{tmp_path}/osdr_studies.parquet")
+    got = {r.row_id: r.hours for r in cp.p2_found(spark, str(tmp_path)).collect()}
+    both = [720, 744, 696, 696, 720, 720, 744, 744, 696, 0]
+    assert [got[i] for i in range(10)] == both and [got[100 + i] for i in range(10)] == both
+    assert [got[200 + i] for i in range(10)] == [720, 744, 696, 696, 720 * 24, 720, 744 * 24, 744, 696 * 24, 0]
+    assert {k - 300 for k in got if k >= 300} == {2, 5, 7}
+
+
 REFS = "id long, f string, at timestamp"
 PARENTS = "f string, a timestamp, d timestamp"
 
