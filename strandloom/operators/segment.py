@@ -4,13 +4,14 @@ A scan finds quoted stretches, a multi-pattern automaton finds known whole
 values in quotes, and dynamic programming picks the best cover of the text;
 delimiters inside a chosen stretch are protected.  Known values decide where
 quotes alone do not: quotes inside a value that were not doubled, or stray ones.
-The dictionary is learned from every row and stays a table: only texts whose
-quotes are unclear are joined with it, by the stretches they could hold.
+The dictionary is learned from every row, and every text meets it: whole, in one
+automaton, or, where it is too long for that, the part of it that a join by
+quoted stretches finds possible in the texts at hand.
 """
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import cut
 from strandloom.tables import is_missing
 
 _QUOTED = re.compile(r'"((?:[^"]|"")*)"')
@@ -58,8 +60,8 @@ class Segmenter:
             j += 1
         return j >= len(s) or s[j] in self.delimiters or (" " in self.delimiters and j > i)
 
-    def protected(self, s: str) -> list[tuple[int, int, str]]:
-        """(start, end, text) of the values in the best cover, from left to right."""
+    def quoted(self, s: str) -> tuple[list[tuple[int, int, str]], bool]:
+        """(start, end, text) of the stretches whose quotes stand beside delimiters, and whether they hold all quotes of the text."""
         spans = []
         i = s.find('"')
         while i >= 0:
@@ -69,11 +71,28 @@ class Segmenter:
                 i = s.find('"', m.end())
             else:
                 i = s.find('"', i + 1)
+        return spans, s.count('"') == sum(s.count('"', a, b) for a, b, _ in spans)
+
+    def protected(self, s: str) -> list[tuple[int, int, str]]:
+        """(start, end, text) of the values in the best cover, from left to right.
+
+        Where all quotes are clear, a known value neither begins nor ends in a
+        quoted stretch without being that stretch.
+        """
+        spans, clear = self.quoted(s)
+        begins, stretches = [a for a, _, _ in spans], list(spans)
+
+        def fits(a: int, b: int) -> bool:
+            x, y = bisect_right(begins, a) - 1, bisect_left(begins, b) - 1
+            if x >= 0 and stretches[x][:2] == (a, b):
+                return True
+            return not (x >= 0 and a < stretches[x][1]) and not (y >= 0 and b <= stretches[y][1])
+
         known: set[tuple[int, int]] = set()
         if len(self.auto):
             for end, (n, v) in self.auto.iter(s):
                 a = end + 1 - n
-                if self._starts(s, a) and self._ends(s, end + 1):
+                if self._starts(s, a) and self._ends(s, end + 1) and (not clear or fits(a, end + 1)):
                     known.add((a, end + 1))
                     spans.append((a, end + 1, v))
         if len(spans) < 2:
@@ -93,13 +112,19 @@ class Segmenter:
             out.append(sp)
         return out[::-1]
 
+    @staticmethod
+    def inside(text: str) -> str:
+        """The text without white space and brackets around it."""
+        s = text.strip()
+        if len(s) > 1 and s[0] + s[-1] in ("[]", "()", "{}") and s.count(s[0]) == 1:
+            s = s[1:-1].strip()
+        return s
+
     def split(self, text: str | None) -> list[str]:
         """The values in their order; empty slots are left out, repeated values stay."""
         if not text:
             return []
-        s = text.strip()
-        if len(s) > 1 and s[0] + s[-1] in ("[]", "()", "{}") and s.count(s[0]) == 1:
-            s = s[1:-1].strip()
+        s = self.inside(text)
         items: list[str] = []
         piece: list[str] = []
 
@@ -146,24 +171,29 @@ def learned_values(df: DataFrame, text: str, delimiters: str, glue: str = "") ->
     return quoted.select(F.trim(F.replace("v", F.lit('""'), F.lit('"'))).alias("value")).filter(F.col("value").rlike(hard)).distinct()
 
 
+#: letters of known values up to which one automaton holds them all (some 50 MB a task)
+LETTERS = 1_000_000
+
+
 def split_field(df: DataFrame, key: str, text: str, delimiters: str, glue: str = ":=", bind: str | None = None) -> DataFrame:
     """rec_key, pos, item: one row per value of each row's text, pos from 1.
 
     Null, blank and missing texts give no rows; other columns are left out, so
-    none can clash.  Texts whose quotes are all doubled or closed beside a
-    delimiter split by themselves.  The others are looked up in the dictionary
-    first: the stretches between any two of their quotes, up to the length of
-    the longest known value, are joined with it.
+    none can clash.  Every text is searched for the known values of all rows by
+    the automaton.  A dictionary of up to LETTERS is one automaton in every task
+    and needs no shuffle.  A longer one is narrowed first: each batch's automaton
+    holds the known values that its texts could hold, found by a join.
     """
     src = df.select(F.col(f"`{key}`").cast("string").alias("rec_key"), F.col(f"`{text}`").alias("t")).filter(~is_missing(F.col("t")))
-    closed = "(?:^\\s*[\\[({]?|" + _class(delimiters + glue) + ")\\s*" + _INSIDE + "(?=\\s*(?:$|[\\])}]|" + _class(delimiters) + "))"
-    unclear = F.regexp_replace("t", closed, "").contains('"')
+    values = cut(learned_values(src, "t", delimiters, glue), "dictionary")
+    size = values.agg(F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("letters"), F.coalesce(F.max(F.length("value")), F.lit(0)).alias("most")).first()
+    whole = sorted(r["value"] for r in values.collect()) if size["letters"] <= LETTERS else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plain = Segmenter(delimiters, (), glue, bind)
+        segmenter = Segmenter(delimiters, whole or (), glue, bind)
         for pdf in batches:
-            known = {v for vs in pdf["known"] if vs is not None for v in vs}
-            segmenter = Segmenter(delimiters, sorted(known), glue, bind) if known else plain
+            if whole is None:
+                segmenter = Segmenter(delimiters, sorted({v for vs in pdf["known"] if vs is not None for v in vs}), glue, bind)
             cache = {t: segmenter.split(t) for t in pdf["t"].unique()}
             parts = [cache[t] for t in pdf["t"]]
             n = [len(p) for p in parts]
@@ -173,15 +203,26 @@ def split_field(df: DataFrame, key: str, text: str, delimiters: str, glue: str =
                 "item": [v for p in parts for v in p],
             })
 
-    odd = src.filter(unclear)
-    values = learned_values(src, "t", delimiters, glue)
+    if whole is None:
+        src = _narrowed(src, values, size["most"], delimiters, glue)
+    return src.mapInPandas(run, "rec_key string, pos int, item string")
+
+
+def _narrowed(src: DataFrame, values: DataFrame, most: int, delimiters: str, glue: str) -> DataFrame:
+    """``src`` plus ``known``: the values, of ``most`` letters at most, that stand between two quotes of the text ``t``.
+
+    Clear quotes hold their own stretches only; others could belong together in
+    any pair.  Texts without quotes hold no value in quotes.
+    """
 
     def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = Segmenter(delimiters, (), glue)
         for pdf in batches:
             rows = []
-            for t, most in zip(pdf["t"], pdf["most"]):
-                at = [m.start() for m in re.finditer('"', t)]
-                found = set()
+            for t in pdf["t"]:
+                spans, clear = plain.quoted(plain.inside(t))
+                found = {v.strip() for _, _, v in spans}
+                at = [] if clear else [m.start() for m in re.finditer('"', t)]
                 for x, a in enumerate(at):
                     for b in at[x + 1:]:
                         if b - a > 2 * most + 2:
@@ -191,9 +232,8 @@ def split_field(df: DataFrame, key: str, text: str, delimiters: str, glue: str =
                 rows += [(t, v) for v in found if v]
             yield pd.DataFrame(rows, columns=["t", "value"])
 
-    longest = values.agg(F.max(F.length("value"))).scalar()
-    could = odd.select("t").distinct().select("t", F.coalesce(longest, F.lit(0)).alias("most")).mapInPandas(stretches, "t string, value string")
+    quotes = F.col("t").contains('"')
+    could = src.filter(quotes).select("t").distinct().mapInPandas(stretches, "t string, value string")
     known = could.join(values, "value", "left_semi").groupBy("t").agg(F.collect_set("value").alias("known"))  # at most a text's own stretches
-    joined = odd.join(known, "t", "left").select("rec_key", "t", "known")
-    every = src.filter(~unclear).select("rec_key", "t", F.lit(None).cast("array<string>").alias("known")).unionByName(joined)
-    return every.mapInPandas(run, "rec_key string, pos int, item string")
+    joined = src.filter(quotes).join(known, "t", "left").select("rec_key", "t", "known")
+    return src.filter(~quotes).select("rec_key", "t", F.lit(None).cast("array<string>").alias("known")).unionByName(joined)

@@ -202,3 +202,35 @@ def test_known_values_decide_unclear_quotes(spark):
     alone = [i for key, _, i in split([r for r in odd if r[0] == 4])]
     assert alone != got["4"] and len(alone) == 3
     assert "note: left, upper" in got["5"]
+
+
+def test_every_text_meets_the_whole_dictionary(spark, monkeypatch):
+    """Known values of all rows are in the automaton of each text, whether its quotes are clear, unclear or absent."""
+    rows = [(1, 'a: "x, y"; b'), (2, '"p; q"'), (3, "plain; text"), (4, 'c: "x, y; "d'), (5, '"no separator"')]
+
+    class Told(seg.Segmenter):
+        def split(self, text):
+            return [",".join(sorted(v for _, v in self.auto.values()))]
+
+    monkeypatch.setattr(seg, "Segmenter", Told)
+    got = {r.rec_key: r.item for r in seg.split_field(spark.createDataFrame(rows, "k int, t string"), "k", "t", **TRAITS).collect()}
+    assert got == {k: "p; q,x, y" for k in "12345"}
+
+
+def test_clear_quotes_stand_against_known_values():
+    """A known value does not reach from one clear stretch to another, though its cover would be longer."""
+    s = seg.Segmenter(values=[";x;y;z;", 'p"; "q'], **TRAITS)
+    assert s.split('"a;";x;y;z;";b"') == ["a;", "x", "y", "z", ";b"]
+    assert s.split('"p"; "q"') == ["p", "q"] and s.split('"p""; ""q"; r') == ['p"; "q', "r"]
+    assert s.split('k: "p"; "q" r') == ['k: p', '"q" r']
+    assert s.split('k: "p"; "q"; "') == ['k: p"; "q', '"']  # unclear: the known value decides
+
+
+def test_a_long_dictionary_is_narrowed(spark, monkeypatch):
+    """The narrowed dictionary gives the rows of the whole one."""
+    rows = [(i, t) for i, t in enumerate(['batch: "line ""B7""; old"; age: 3', 'batch: "line "B7"; old"; age: 4', 'size: "; note: "left, upper"; x: "; y', '["left, upper"; "a;"]', "age: 3; left, upper", '"a;";x;";b"', 'n: ";x;"', None, " "] * 3)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    split = lambda: sorted(tuple(r) for r in seg.split_field(df, "k", "t", **TRAITS).collect())
+    want = split()
+    monkeypatch.setattr(seg, "LETTERS", 0)
+    assert split() == want and ("1", 1, 'batch: line "B7"; old') in want and ("5", 2, "x") in want
